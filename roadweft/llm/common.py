@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a kernel looks at in one go; one longer text is taken alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -33,6 +33,8 @@ from roadweft.llm.graph import components
 WORDS, PERCENT = 5, 80
 #: Shingles that one bucket of the occurrence count holds on average.
 BUCKET = 2_000_000
+#: Bytes of text whose shingles are packed together.
+BLOCK_BYTES = 4_000_000
 #: Sets in a block of the pair phase, and in a leaf of a tree.
 BLOCK, LEAF, FAN = 256, 8, 4
 BITS = 4096
@@ -65,48 +67,53 @@ def _heads_and_keys(k: int, buckets: int, mode: str):
     def run(batches):
         turn = 0
         for batch in batches:
-            ids, texts = batch.column(0), text_bytes(batch.column(1))
-            sets = list(shingle_sets(texts, k))
-            sizes = np.array([len(s) for s in sets], np.int64)
-            nodes = [digest(s) if len(s) else None for s in sets]
+            texts = text_bytes(batch.column(1))
             if mode == "head":
-                yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array(sizes)], names=["doc_id", "node", "n_shingles"])
+                found = [(digest(s) if len(s) else None, len(s)) for s in shingle_sets(texts, k)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "node", "n_shingles"])
                 continue
-            # one copy of each set is enough for the count
-            seen: dict[int, int] = {}
-            keep = [i for i, x in enumerate(nodes) if x is not None and seen.setdefault(x, i) == i]
-            if not keep:
-                continue
-            who = np.repeat(np.arange(len(keep), dtype=np.uint32), sizes[keep])
-            flat = np.concatenate([sets[i] for i in keep])
-            order = np.argsort(flat, kind="stable")
-            flat, who = flat[order], who[order]
-            same = flat[1:] == flat[:-1]
-            many = np.zeros(len(flat), bool)
-            many[1:] |= same
-            many[:-1] |= same
-            first = np.ones(len(flat), bool)
-            first[1:] = ~same
-            who[many] = np.uint32(0xFFFFFFFF)  # in two sets of the block already: nobody's single
-            flat, who = flat[first], who[first]
-            bucket = ((flat & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            flat, who, bucket = flat[order], who[order], bucket[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            names = np.array([nodes[i] for i in keep], np.int64)
-            rows = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            tag, turn = (TaskContext.get().partitionId() << 32) + turn, turn + 1
-            low = (flat >> np.uint64(32)).astype(np.uint32)
-            narrow = np.where(who == 0xFFFFFFFF, 0xFFFF, who).astype(np.uint16) if len(keep) < 0xFFFF else who
-            cells = [(low[a:b].tobytes(), narrow[a:b].tobytes()) for a, b in ((cuts[r], cuts[r + 1]) for r in rows)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([tag] * len(rows), pa.int64()), pa.array([len(keep)] * len(rows), pa.int32()), pa.array(rows, pa.int32()), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())],
-                names=["block", "width", "bucket", "keys", "who"],
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([tag], pa.int64()), pa.array([len(keep)], pa.int32()), pa.array([-1], pa.int32()), pa.array([names.tobytes()], pa.binary()), pa.array([sizes[keep].tobytes()], pa.binary())],
-                names=["block", "width", "bucket", "keys", "who"],
-            )
+            for lo, hi in chunks(texts, BLOCK_BYTES):
+                yield from packed(texts[lo:hi], (TaskContext.get().partitionId() << 32) + turn)
+                turn += 1
+
+    def packed(texts, tag):
+        sets = list(shingle_sets(texts, k))
+        sizes = np.array([len(s) for s in sets], np.int64)
+        nodes = [digest(s) if len(s) else None for s in sets]
+        # one copy of each set is enough for the count
+        seen: dict[int, int] = {}
+        keep = [i for i, x in enumerate(nodes) if x is not None and seen.setdefault(x, i) == i]
+        if not keep:
+            return
+        who = np.repeat(np.arange(len(keep), dtype=np.uint32), sizes[keep])
+        flat = np.concatenate([sets[i] for i in keep])
+        order = np.argsort(flat, kind="stable")
+        flat, who = flat[order], who[order]
+        same = flat[1:] == flat[:-1]
+        many = np.zeros(len(flat), bool)
+        many[1:] |= same
+        many[:-1] |= same
+        first = np.ones(len(flat), bool)
+        first[1:] = ~same
+        who[many] = np.uint32(0xFFFFFFFF)  # in two sets of the block already: nobody's single
+        flat, who = flat[first], who[first]
+        bucket = ((flat & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        flat, who, bucket = flat[order], who[order], bucket[order]
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        names = np.array([nodes[i] for i in keep], np.int64)
+        rows = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+        low = (flat >> np.uint64(32)).astype(np.uint32)
+        narrow = np.where(who == 0xFFFFFFFF, 0xFFFF, who).astype(np.uint16) if len(keep) < 0xFFFF else who
+        cells = [(low[a:b].tobytes(), narrow[a:b].tobytes()) for a, b in ((cuts[r], cuts[r + 1]) for r in rows)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([tag] * len(rows), pa.int64()), pa.array([len(keep)] * len(rows), pa.int32()), pa.array(rows, pa.int32()), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())],
+            names=["block", "width", "bucket", "keys", "who"],
+        )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([tag], pa.int64()), pa.array([len(keep)], pa.int32()), pa.array([-1], pa.int32()), pa.array([names.tobytes()], pa.binary()), pa.array([sizes[keep].tobytes()], pa.binary())],
+            names=["block", "width", "bucket", "keys", "who"],
+        )
 
     return run
 
@@ -318,10 +325,10 @@ def similar_nodes(docs: DataFrame, heads: DataFrame, k: int, percent: int) -> Da
 
     def tokens(batches):
         for batch in batches:
-            texts = text_bytes(batch.column(0))
-            sets = list(shingle_sets(texts, k))
-            ok = [i for i, (s, n) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if len(s) and digest(s) == n]
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(1)[i].as_py() for i in ok], pa.int64()), pa.array([len(sets[i]) for i in ok], pa.int64()), pa.array([sets[i].tobytes() for i in ok], pa.binary())], names=["node", "n", "tokens"])
+            texts, nodes = text_bytes(batch.column(0)), batch.column(1).to_pylist()
+            for lo, hi in chunks(texts, BLOCK_BYTES):
+                sets = [(n, s) for n, s in zip(nodes[lo:hi], shingle_sets(texts[lo:hi], k), strict=True) if len(s) and digest(s) == n]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in sets], pa.int64()), pa.array([len(s) for _, s in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary())], names=["node", "n", "tokens"])
 
     sets = docs.join(chosen, "doc_id").select("text", "node").mapInArrow(tokens, "node long, n long, tokens binary").dropDuplicates(["node"])
     sets = stage(sets, "jaccard-sets")
