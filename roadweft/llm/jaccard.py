@@ -58,6 +58,16 @@ def digest(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes(), 20) - (1 << 63)
 
 
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts in one, two or four bytes each, after a byte that says which."""
+    size = 1 if counts.max(initial=0) < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 # ---- occurrence count -------------------------------------------------------------------------------------
 
 
@@ -97,6 +107,9 @@ def _heads_and_keys(k: int, buckets: int, mode: str):
         first[1:] = ~same
         who[many] = np.uint32(0xFFFFFFFF)  # in two sets of the block already: nobody's single
         flat, who = flat[first], who[first]
+        # by bucket, then set: a cell holds its keys and how many of them each set has, last those of no single set
+        order = np.argsort(np.minimum(who, len(keep)), kind="stable")
+        flat, who = flat[order], np.minimum(who[order], len(keep)).astype(np.int64)
         bucket = ((flat & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         flat, who, bucket = flat[order], who[order], bucket[order]
@@ -104,8 +117,7 @@ def _heads_and_keys(k: int, buckets: int, mode: str):
         names = np.array([nodes[i] for i in keep], np.int64)
         rows = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
         low = (flat >> np.uint64(32)).astype(np.uint32)
-        narrow = np.where(who == 0xFFFFFFFF, 0xFFFF, who).astype(np.uint16) if len(keep) < 0xFFFF else who
-        cells = [(low[a:b].tobytes(), narrow[a:b].tobytes()) for a, b in ((cuts[r], cuts[r + 1]) for r in rows)]
+        cells = [(low[a:b].tobytes(), narrow(np.bincount(who[a:b], minlength=len(keep) + 1))) for a, b in ((cuts[r], cuts[r + 1]) for r in rows)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([tag] * len(rows), pa.int64()), pa.array([len(keep)] * len(rows), pa.int32()), pa.array(rows, pa.int32()), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())],
             names=["block", "width", "bucket", "keys", "who"],
@@ -124,7 +136,7 @@ def _singles(table: pa.Table) -> pa.Table:
     if table["bucket"][0].as_py() < 0:
         return pa.table({"block": table["block"], "width": table["width"], "names": table["keys"], "counts": table["who"]})
     keys = [np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]
-    who = [np.frombuffer(x, np.uint16 if w < 0xFFFF else np.uint32) for x, w in zip(table["who"].to_pylist(), widths, strict=True)]
+    who = [np.repeat(np.arange(w + 1), wide(x)) for x, w in zip(table["who"].to_pylist(), widths, strict=True)]
     flat = np.concatenate(keys)
     ordered = np.sort(flat)
     same = ordered[1:] == ordered[:-1]
@@ -136,19 +148,19 @@ def _singles(table: pa.Table) -> pa.Table:
     for k, w, n in zip(keys, who, widths, strict=True):
         mine = w[lone[at : at + len(k)]]
         at += len(k)
-        out.append(np.bincount(mine[mine < n].astype(np.int64), minlength=n).astype(np.uint16 if len(k) < 0xFFFF else np.uint32))
-    return pa.table({"block": pa.array(blocks, pa.int64()), "width": pa.array(widths, pa.int32()), "names": pa.nulls(len(out), pa.binary()), "counts": pa.array([pa.py_buffer(x).to_pybytes() if x.dtype == np.uint16 else b"L" + x.tobytes() for x in out], pa.binary())})
+        out.append(narrow(np.bincount(mine, minlength=n + 1)[:n]))
+    return pa.table({"block": pa.array(blocks, pa.int64()), "width": pa.array(widths, pa.int32()), "names": pa.nulls(len(out), pa.binary()), "counts": pa.array(out, pa.binary())})
 
 
 def _candidates(percent: int):
     def run(table: pa.Table) -> pa.Table:
         names = sizes = None
         total = 0
-        for name, counts, width in zip(table["names"].to_pylist(), table["counts"].to_pylist(), table["width"].to_pylist(), strict=True):
+        for name, counts in zip(table["names"].to_pylist(), table["counts"].to_pylist(), strict=True):
             if name is not None:
                 names, sizes = np.frombuffer(name, np.int64), np.frombuffer(counts, np.int64)
             else:
-                total = total + (np.frombuffer(counts, np.uint16) if len(counts) == 2 * width else np.frombuffer(counts[1:], np.uint32)).astype(np.int64)
+                total = total + wide(counts)
         keep = total <= spare(sizes, percent)
         return pa.table({"node": pa.array(names[keep], pa.int64())})
 
