@@ -2,44 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from roadweft.plans.staging import fresh_path, remove, shared_dir, stage
 
 #: Bytes of text that a kernel looks at in one go; one longer text is taken alone.
 CHUNK_BYTES = 1_000_000
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="roadweft-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/roadweft/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a result to the shared folder and read it back, so that no lineage hangs on executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a staged table that no later step reads."""
-    files = df.inputFiles()
-    if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["CHUNK_BYTES", "chunks", "fresh_path", "offsets_list", "partitions", "remove", "shared_dir", "stage", "text_bytes"]
 
 
 def partitions(spark: SparkSession) -> int:
