@@ -22,6 +22,8 @@ from roadweft.llm.tokens import encoder, vocabulary
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 1000
+#: Ranges whose bases are broadcast: 16 bytes each.
+MOST_RANGES = 1 << 20
 SCHEMA = "doc_id long, part int, before long, n_tokens long, ids array<int>"
 
 
@@ -72,6 +74,8 @@ def read_tokens(spark, path: str, columns: list[str] | None = None, low: int | N
         files = files.where(F.col("doc_id") >= low)
     if high is not None:
         files = files.where(F.col("doc_id") <= high)
+    # a row a range: broadcast while they are few, or each shuffle would move all ids
+    ranges = F.broadcast(ranges) if ranges.count() <= MOST_RANGES else ranges
     out = files.join(ranges, "part").withColumn("start", F.col("base") + F.col("before"))
     return out.select(*(columns or ["doc_id", "start", "n_tokens", "ids"]))
 
