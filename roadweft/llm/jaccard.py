@@ -332,7 +332,7 @@ def similar_nodes(docs: DataFrame, heads: DataFrame, k: int, percent: int) -> Da
     counts = packed.groupBy("part", F.col("bucket") < 0).applyInArrow(lambda t: _singles(t), "block long, width int, names binary, counts binary")
     nodes = counts.groupBy("block").applyInArrow(_candidates(percent), "node long").distinct()
     # one document stands for each candidate set
-    chosen = heads.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
+    chosen = heads.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node")
     chosen = stage(chosen, "jaccard-chosen")
 
     def tokens(batches):
