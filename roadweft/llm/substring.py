@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadweft.llm import hashing
 from roadweft.llm.common import chunks, stage, text_bytes
@@ -132,15 +133,16 @@ def _cut(width: int):
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, short: int = ANCHOR) -> DataFrame:
-    """docs (doc_id, text) with n_words, n_removed, removed intervals of word positions, and kept words joined by a space.
+    """docs (doc_id, text, others with names of their own) with n_words, n_removed, removed intervals of word positions, and kept words joined by a space.
 
     A word is removed if it lies in a window of width words that also starts in a document with a smaller
     doc_id, judged on the input. Null or empty text: no words, nothing removed, kept is ''. A null id: it is
     smaller than nothing and has nothing smaller, so its text stays whole and removes nothing. Rows that
     repeat an id are each cut against smaller ids, never against each other.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = docs.where("doc_id is not null")
+    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
+    named = docs.where("doc_id is not null").select("doc_id", "text")
     found = named.mapInArrow(_anchor_rows(width, short), "doc_id long, anchor long")
     many = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     per = found.join(many, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
@@ -148,8 +150,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, short: int = ANCHOR) ->
     windows = stage(windows, "substring-windows")
     counted = windows.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w", "lo")
     bad = windows.join(counted, "w").where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("w").alias("ws"))
-    schema = "doc_id long, text string, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept string"
-    return docs.join(bad, "doc_id", "left").select("doc_id", "text", "ws").mapInArrow(_cut(width), schema)
+    made = T.StructType.fromDDL("n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept string")
+    return docs.join(bad, "doc_id", "left").select(*docs.columns, "ws").mapInArrow(_cut(width), T.StructType([*docs.schema.fields, *made.fields]))
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -159,12 +161,13 @@ def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs with repeated windows cut out of text; texts that lose nothing stay as they are, n_chars follows the text."""
-    cut = remove_repeats(docs.select("doc_id", "text"), width).where("n_removed > 0").select("doc_id", F.col("text").alias("_text"), "kept").distinct()
-    # a row is found again by its id and text
-    same = docs.withColumn("_text", F.col("text")).join(cut, ["doc_id", "_text"], "left")
-    new = F.coalesce("kept", "text")
-    out = same.withColumn("text", new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept").isNotNull(), F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    """docs with repeated windows cut out of text; texts that lose nothing stay as they are, n_chars follows the text. Other columns may have any names."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rest = [F.col(c).alias(n) for c, n in names.items() if c not in ("doc_id", "text")]
+    cut = remove_repeats(docs.select("doc_id", "text", *rest), width)
+    new = {c: F.col(n) for c, n in names.items() if c not in ("doc_id", "text")}
+    new |= {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))}
+    if "n_chars" in names:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(kind)).otherwise(F.col(names["n_chars"]))
+    return cut.select(*(new[c].alias(c) for c in docs.columns))
