@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,13 +13,19 @@ from roadweft.plans.staging import fresh_path, remove, shared_dir, stage
 #: Bytes of text that a kernel looks at in one go; one longer text is taken alone.
 CHUNK_BYTES = 1_000_000
 
-__all__ = ["CHUNK_BYTES", "chunks", "fresh_path", "offsets_list", "partitions", "remove", "shared_dir", "stage", "text_bytes"]
+__all__ = ["CHUNK_BYTES", "chunks", "fresh_path", "offsets_list", "partitions", "release", "remove", "shared_dir", "stage", "text_bytes"]
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results have been written; it does so when their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of every text; null gives no bytes."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]

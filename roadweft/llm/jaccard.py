@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweft.llm import hashing
-from roadweft.llm.common import chunks, stage, text_bytes
+from roadweft.llm.common import chunks, release, stage, text_bytes
 from roadweft.operators.graph import components
 
 WORDS, PERCENT = 5, 80
@@ -342,8 +342,11 @@ def similar_nodes(docs: DataFrame, heads: DataFrame, k: int, percent: int) -> Da
                 sets = [(n, s) for n, s in zip(nodes[lo:hi], shingle_sets(texts[lo:hi], k), strict=True) if len(s) and digest(s) == n]
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in sets], pa.int64()), pa.array([len(s) for _, s in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary())], names=["node", "n", "tokens"])
 
-    sets = docs.join(chosen, "doc_id").select("text", "node").mapInArrow(tokens, "node long, n long, tokens binary").dropDuplicates(["node"])
+    release(docs.sparkSession)
+    # the chosen ids grow with the input: a shuffled join at every size, which need not sort texts
+    sets = docs.join(chosen.hint("shuffle_hash"), "doc_id").select("text", "node").mapInArrow(tokens, "node long, n long, tokens binary").dropDuplicates(["node"])
     sets = stage(sets, "jaccard-sets")
+    release(docs.sparkSession)
 
     def exploded(batches):
         for batch in batches:
@@ -362,6 +365,7 @@ def similar_nodes(docs: DataFrame, heads: DataFrame, k: int, percent: int) -> Da
     room = F.expr(f"cast(n - ceil(n * {percent}D / 100D) + 1 - (n - size(ts)) as int)")
     prefix = per.withColumn("room", room).where("room > 0").select("node", "n", F.explode(F.slice("ts", F.lit(1), F.least("room", F.size("ts")))["t"]).alias("t"))
     prefix = stage(prefix, "jaccard-prefix")
+    release(docs.sparkSession)
     first = prefix.groupBy("t").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("t", "a")
     members = components(prefix.join(first, "t").select("a", F.col("node").alias("b")), "jaccard-groups")
     members = members.select("node", F.col("root").alias("comp"))
@@ -372,6 +376,8 @@ def group_links(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links within groups of candidates: pivots first, then pruned pairs of blocks."""
     members = stage(sets.join(members, "node").select("comp", "node", "n", "tokens"), "jaccard-members")
     pivots = members.groupBy("comp").agg(F.max_by(F.struct("node", "tokens"), F.struct("n", "node")).alias("p")).select("comp", F.col("p.node").alias("pivot"), F.col("p.tokens").alias("pivot_tokens"))
+    # written first, so that the join with a hot group's members can be split
+    pivots = stage(pivots, "jaccard-pivot-sets")
 
     def distances(batches):
         for batch in batches:
