@@ -119,7 +119,7 @@ def _pack(path: str, end: int, tiers: tuple[int, ...], block_tokens: int, step_t
         ids, tokens, held = [], [], 0
         for batch in batches:
             texts, names = text_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
-            for lo, hi in chunks(texts, 4 << 20):
+            for lo, hi in chunks(texts, 2_000_000):
                 for name, t in zip(names[lo:hi], model.encode(texts[lo:hi]), strict=True):
                     ids.append(name)
                     tokens.append(np.append(t, np.uint32(end)))

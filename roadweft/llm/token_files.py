@@ -32,7 +32,7 @@ def _encode(path: str, end: int):
         model, part, before = encoder(path, True), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts, ids = text_bytes(batch.column("text")), batch.column("doc_id")
-            for lo, hi in chunks(texts, 8 << 20):
+            for lo, hi in chunks(texts, 4_000_000):
                 tokens = [np.append(x, np.uint32(end)) for x in model.encode(texts[lo:hi])]
                 size = np.array([len(x) for x in tokens], np.int64)
                 ends = np.cumsum(size)

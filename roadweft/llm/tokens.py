@@ -18,9 +18,9 @@ from roadweft.llm import hashing
 from roadweft.llm.common import chunks
 
 #: Pieces that a worker keeps; beyond that it drops those that the batch at hand does not use.
-KEPT = 1_500_000
+KEPT = 1_000_000
 #: Pieces that are encoded in one string, and bytes of text in a batch.
-JOINED, BATCH = 400, 4 << 20
+JOINED, BATCH = 400, 2_000_000
 #: White space and format characters outside the plain six, and the opening of special tokens.
 ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|")
 #: Pieces that a joined string may hold: a space or line end, then no white space.
@@ -85,9 +85,8 @@ class Encoder:
         ids, sizes = self.pieces(pieces)
         starts = np.cumsum(sizes) - sizes + len(self.pool)
         self.pool = np.concatenate([self.pool, ids])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.start, self.size = keys[order], np.concatenate([self.start, starts])[order], np.concatenate([self.size, sizes])[order]
+        at = np.searchsorted(self.keys, keys)  # new keys come sorted
+        self.keys, self.start, self.size = np.insert(self.keys, at, keys), np.insert(self.start, at, starts), np.insert(self.size, at, sizes)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.keys, keys)
