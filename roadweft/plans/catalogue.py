@@ -387,6 +387,6 @@ def centerline_export(spark, sf_dir):
 
 @query(None)
 def locate_tracks(spark, sf_dir):
-    """Lane, s and t of each row by the cheapest path over lanes (tested against a plain search)."""
+    """Lane, s and t of each row by the cheapest path over lanes."""
     grid = lanes(spark)
     return locate.locate(tracks_from_events(spark, sf_dir), grid, maps.relation_edges(grid))
