@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweft.functions import crs
-from roadweft.sources import opendrive
+from roadweft.plans.staging import fresh_path
+from roadweft.sources import opendrive, traces
+from roadweft.sources.events import SQL, tracks_from_events
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -84,3 +86,12 @@ def utm_round_trip(spark, sf_dir):
     moved = places.select("event_id", crs.transform(F.col("lon"), F.col("lat"), degrees, zone).alias("m"))
     back = moved.withColumn("b", crs.transform(F.col("m.x"), F.col("m.y"), zone, degrees))
     return back.select("event_id", F.round("m.x", 4).alias("x"), F.round("m.y", 4).alias("y"), F.round("b.x", 8).alias("lon"), F.round("b.y", 8).alias("lat"))
+
+
+@query(f"WITH {SQL} SELECT idx, total_nanos, round(x, 6) AS x, round(yaw, 6) AS yaw, type, role FROM tracks")
+def trace_round_trip(spark, sf_dir):
+    """Trajectories written as one MCAP file and read again."""
+    path = fresh_path(spark, "trace") + ".mcap"
+    traces.write_mcap(traces.to_messages(tracks_from_events(spark, sf_dir)), path)
+    back = traces.moving_objects(traces.read_messages(spark, path))
+    return back.select("idx", "total_nanos", F.round("x", 6).alias("x"), F.round("yaw", 6).alias("yaw"), "type", "role")
