@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweft.functions import crs
+from roadweft.plans import segmentation
 from roadweft.plans.staging import fresh_path
 from roadweft.sources import opendrive, traces
 from roadweft.sources.events import SQL, tracks_from_events
@@ -95,3 +96,32 @@ def trace_round_trip(spark, sf_dir):
     traces.write_mcap(traces.to_messages(tracks_from_events(spark, sf_dir)), path)
     back = traces.moving_objects(traces.read_messages(spark, path))
     return back.select("idx", "total_nanos", F.round("x", 6).alias("x"), F.round("yaw", 6).alias("yaw"), "type", "role")
+
+
+#: Lanes of a crossroad: number, points, successors, predecessors. 1 and 2 cross, 8 and 9 cross close by, 7 lies inside, 6 leaves and returns.
+CROSSROAD = (
+    (1, ((0, 0), (20, 0)), (4,), (3,)), (2, ((10, -10), (10, 10)), (), (5,)), (3, ((-50, 0), (0, 0)), (1,), ()), (4, ((20, 0), (70, 0)), (), (1,)), (5, ((10, -60), (10, -10)), (2,), ()),
+    (6, ((25, -5), (15, -20)), (2,), (1,)), (7, ((2, 0.5), (6, 0.6)), (), ()), (8, ((10, 11), (10, 30)), (), ()), (9, ((5, 20), (15, 20)), (), ()),
+)
+
+
+def crossroads(spark, sf_dir) -> DataFrame:
+    """A crossroad for each nation, a kilometre apart."""
+    k = F.col("n_nationkey").cast("long")
+    ids = lambda v: F.array(*(k * 10 + i for i in v)).cast("array<bigint>")
+    point = lambda x, y: F.struct((k * 1000 + float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    lanes = F.array(*(F.struct((k * 10 + n).alias("lane_id"), F.array(*(point(*p) for p in line)).alias("centerline"), ids(after).alias("successor_ids"), ids(before).alias("predecessor_ids")) for n, line, after, before in CROSSROAD))
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.inline(lanes))
+
+
+@query("SELECT (n_nationkey * 10 + n)::BIGINT AS lane_id, (n_nationkey * 10 + CASE WHEN n IN (3, 4, 5) THEN n ELSE 1 END)::BIGINT AS segment, CASE WHEN n IN (3, 4, 5) THEN 'no_junction' ELSE 'junction' END AS kind FROM nation, range(1, 10) r(n)")
+def centerline_segments(spark, sf_dir):
+    return segmentation.centerline_segments(crossroads(spark, sf_dir))
+
+
+@query("""WITH s AS (SELECT n_nationkey AS k, n FROM nation, (VALUES (1), (3), (4), (5)) v(n)) SELECT (k * 10 + n)::BIGINT AS segment, CASE n WHEN 1 THEN 6 ELSE 1 END AS lanes,
+CASE n WHEN 1 THEN k * 1000 + 0.0e0 WHEN 3 THEN k * 1000 - 50.0e0 WHEN 4 THEN k * 1000 + 20.0e0 ELSE k * 1000 + 10.0e0 END AS x_min, CASE n WHEN 1 THEN 30.0e0 WHEN 5 THEN -10.0e0 ELSE 0.0e0 END AS y_max FROM s""")
+def segment_hulls(spark, sf_dir):
+    lanes = crossroads(spark, sf_dir)
+    table = segmentation.segment_table(segmentation.centerline_segments(lanes), lanes)
+    return table.select("segment", F.size("lane_ids").alias("lanes"), F.array_min("ring.x").alias("x_min"), F.array_max("ring.y").alias("y_max"))

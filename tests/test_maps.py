@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadweft.functions import crs
-from roadweft.plans import map_queries
+from roadweft.operators.hulls import hull_of
+from roadweft.plans import map_queries, segmentation
 from roadweft.sources import opendrive
 from tests.test_catalogue import DATA, plain
 
@@ -60,3 +61,21 @@ def test_links_sections_and_odd_maps(spark):
     assert [p.x for p in got["a", -1, 0]["centerline"]] == [0.0, 1.0, 1.5] and got["a", -1, 0]["type"] == "DRIVING" and got["a", -1, 1]["type"] == "UNKNOWN"
     assert [tuple(i) for i in got["a", -1, 0]["successor_ids"]] == [("a", -1, 1)] and [tuple(i) for i in got["a", -1, 1]["successor_ids"]] == [("b", 1, 0)]
     assert [p.x for p in got["b", 1, 0]["left_line"]] == [3.0, 2.0] and got["b", 1, 0]["left_line"][0].y == 3.0 and len(got["b", 1, 0]["polygon"]) == 5
+
+
+def test_hull():
+    rng = np.random.default_rng(1)
+    points = list(map(tuple, rng.integers(0, 9, (40, 2)).astype(float).tolist()))
+    ring = hull_of(points)
+    assert ring[0] == ring[-1] and set(ring) <= set(points)
+    for (ax, ay), (bx, by) in zip(ring[:-1], ring[1:], strict=True):
+        assert all((bx - ax) * (y - ay) - (by - ay) * (x - ax) >= 0 for x, y in points)
+    assert hull_of([]) == [] and hull_of([(1.0, 2.0)] * 3) == [(1.0, 2.0)] * 2 and hull_of([(0.0, 0.0), (2.0, 2.0), (1.0, 1.0)]) == [(0.0, 0.0), (2.0, 2.0), (0.0, 0.0)]
+
+
+def test_near_connections_join(spark):
+    line = lambda y: [(0.0, y), (10.0, y)]
+    schema = "lane_id long, centerline array<struct<x:double,y:double>>, successor_ids array<long>, predecessor_ids array<long>"
+    lanes = spark.createDataFrame([(1, line(0.0), [], []), (2, line(4.0), [], []), (3, line(30.0), [4], []), (4, [(10.0, 30.0), (20.0, 30.0)], [], [3])], schema)
+    assert {tuple(r) for r in segmentation.centerline_segments(lanes).collect()} == {(1, 1, "no_junction"), (2, 1, "no_junction"), (3, 3, "no_junction"), (4, 3, "no_junction")}
+    assert segmentation.centerline_segments(lanes.limit(0)).count() == 0
