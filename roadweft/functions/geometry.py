@@ -99,3 +99,48 @@ def project_on_line(x: Column, y: Column, line: Column) -> Column:
         return F.struct((acc["s"] + size).alias("s"), best.alias("best"))
 
     return F.aggregate(edges(line), start, step, lambda acc: acc["best"])
+
+
+def _between(a: Column, b: Column, u: Column) -> Column:
+    return F.struct((a["x"] + u * (b["x"] - a["x"])).alias("x"), (a["y"] + u * (b["y"] - a["y"])).alias("y"))
+
+
+def extended(line: Column, by: float) -> Column:
+    """The line made longer by the same length at both ends, in the direction of its first and last steps.
+
+    A line without two different points becomes a vertical stub of 2 m around its first point; an empty one is null.
+    """
+    first, last = F.element_at(line, 1), F.element_at(line, -1)
+    second = F.get(F.filter(line, lambda p: (p["x"] != first["x"]) | (p["y"] != first["y"])), 0)
+    before = F.get(F.reverse(F.filter(line, lambda p: (p["x"] != last["x"]) | (p["y"] != last["y"]))), 0)
+
+    def beyond(end: Column, inner: Column) -> Column:
+        return _between(end, inner, -F.lit(by) / norm(inner["x"] - end["x"], inner["y"] - end["y"]))
+
+    stub = F.array(*(F.struct(first["x"].alias("x"), (first["y"] + d).alias("y")) for d in (-1.0, 1.0)))
+    long = F.concat(F.array(beyond(first, second)), line, F.array(beyond(last, before)))
+    return F.when(F.size(line) < 1, None).when(second.isNull(), stub).otherwise(long)
+
+
+def lengths(line: Column) -> Column:
+    """Lengths along a line at its points; the first is 0."""
+    return F.aggregate(edges(line), F.array(F.lit(0.0)), lambda acc, e: F.concat(acc, F.array(F.element_at(acc, -1) + norm(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]))))
+
+
+def point_at(line: Column, s: Column) -> Column:
+    """The point at s along a line; its ends where s lies beyond them."""
+    start = F.struct(F.lit(0.0).alias("s"), F.element_at(line, 1).alias("p"))
+
+    def step(acc: Column, e: Column) -> Column:
+        size = norm(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])
+        u = F.least(F.lit(1.0), F.coalesce(F.try_divide(s - acc["s"], size), F.lit(1.0)))
+        return F.struct((acc["s"] + size).alias("s"), F.when(s >= acc["s"], _between(e["a"], e["b"], F.greatest(F.lit(0.0), u))).otherwise(acc["p"]).alias("p"))
+
+    return F.aggregate(edges(line), start, step, lambda acc: acc["p"])
+
+
+def middle_line(left: Column, right: Column) -> Column:
+    """The line halfway between two borders, with a point at every share of length where either has one."""
+    shares = lambda line: F.transform(lengths(line), lambda s: F.coalesce(F.try_divide(s, line_length(line)), F.lit(0.0)))
+    places = F.array_sort(F.array_distinct(F.concat(shares(left), shares(right))))
+    return F.transform(places, lambda u: _between(point_at(left, u * line_length(left)), point_at(right, u * line_length(right)), F.lit(0.5)))

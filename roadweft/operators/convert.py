@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from abc import ABC, abstractmethod
 from collections.abc import Iterable
+from importlib.metadata import entry_points
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -87,3 +88,12 @@ class DatasetConverter(ABC):
 
         files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(n, len(paths) or 1)))
         return files.mapInPandas(run, "file_path_input string, file_path_output string, status string, error_message string")
+
+
+def plug_ins(group: str = "roadweft.converters") -> dict[str, type[DatasetConverter]]:
+    """Converters that installed packages announce, by name; TypeError for one that is no DatasetConverter."""
+    found = {e.name: e.load() for e in entry_points(group=group)}
+    for name, kind in found.items():
+        if not (isinstance(kind, type) and issubclass(kind, DatasetConverter)):
+            raise TypeError(f"{name} is no dataset converter")
+    return found

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -18,13 +18,21 @@ from roadweft.operators.maps import bounds
 
 #: Costs of a step between lanes: the same lane, along the road, to a neighbour, unrelated.
 SAME, FOLLOWS, BESIDE, UNRELATED = 1, 2, 3, 4
+#: Metres by which lanes are made longer for s and t, so that places before and after a lane have coordinates too.
+EXTENT = 200.0
+
+
+def along(x: Column, y: Column, line: Column) -> Column:
+    """struct(d, s, t) on the extended line; s is negative before the line's start."""
+    return F.transform(F.array(geometry.project_on_line(x, y, geometry.extended(line, EXTENT))), lambda p: F.struct(p["d"].alias("d"), (p["s"] - EXTENT).alias("s"), p["t"].alias("t")))[0]
 
 
 def candidates(points: DataFrame, lanes: DataFrame, half_width: float = 1.75, size: float = 25.0) -> DataFrame:
-    """(idx, total_nanos, x, y, lane_id, d, s, t) for each lane within half_width of a point."""
+    """(idx, total_nanos, x, y, lane_id, d, s, t) for each lane within half_width of a point; d is the distance of the lane as it is, s and t count on the extended one."""
     box = bounds(lanes).select("lane_id", "centerline", *((F.col(f"{c}_{e}") + (half_width if e == "max" else -half_width)).alias(f"{c}_{e}") for c in "xy" for e in ("min", "max")))
     met = grid_join(points.select("idx", "total_nanos", "x", "y"), box, size)
-    return met.withColumn("p", geometry.project_on_line(F.col("x"), F.col("y"), F.col("centerline"))).select("idx", "total_nanos", "x", "y", "lane_id", "p.d", "p.s", "p.t").where(F.col("d") <= half_width)
+    near = met.withColumn("d", geometry.project_on_line(F.col("x"), F.col("y"), F.col("centerline"))["d"]).where(F.col("d") <= half_width)
+    return near.withColumn("p", along(F.col("x"), F.col("y"), F.col("centerline"))).select("idx", "total_nanos", "x", "y", "lane_id", "d", "p.s", "p.t")
 
 
 def nearest(points: DataFrame, lanes: DataFrame, reach: float = 50.0) -> DataFrame:
@@ -115,6 +123,18 @@ def segment_chunks(located: DataFrame, lane_segment: DataFrame) -> DataFrame:
     return T.runs(joined, "idx", "total_nanos", "segment_idx")
 
 
+def chunk_faults(located: DataFrame, lanes: DataFrame, lane_segment: DataFrame, segments: DataFrame) -> DataFrame:
+    """(idx, total_nanos, fault) of rows that have no place on a segment: no_lane, unknown_lane, no_segment, or outside of its ring.
+
+    located has idx, total_nanos, x, y, lane_id; segments segment_idx and ring. Points on a ring's border are inside.
+    """
+    known = lanes.select("lane_id", F.lit(True).alias("known")).distinct()
+    joined = located.join(known, "lane_id", "left").join(lane_segment.select("lane_id", "segment_idx"), "lane_id", "left").join(segments.select("segment_idx", "ring"), "segment_idx", "left")
+    inside = F.coalesce(geometry.point_in_ring(F.col("x"), F.col("y"), F.col("ring")), F.lit(False))
+    fault = F.when(F.col("lane_id").isNull(), "no_lane").when(F.col("known").isNull(), "unknown_lane").when(F.col("segment_idx").isNull(), "no_segment").when(~inside, "outside")
+    return joined.select("idx", "total_nanos", fault.alias("fault")).where("fault is not null")
+
+
 def time_on_segment(tracks: DataFrame, segments: DataFrame) -> DataFrame:
     """First and last time of each object inside each segment's ring; gaps count as inside."""
     xs, ys = F.col("ring.x"), F.col("ring.y")

@@ -151,3 +151,22 @@ def centerline_export(lanes: DataFrame) -> DataFrame:
     for c in ("before", "after"):
         pairs = pairs.join(ids.withColumnRenamed("lane_id", c).withColumnRenamed("n", f"{c}_id"), c, "left").drop(c)
     return pairs
+
+
+def route(edges: DataFrame, start, goal) -> list | None:
+    """Lanes of a shortest way along successors, both ends included; None if there is none.
+
+    Each step asks for the next lanes only: what is gathered are lanes reached, not the map.
+    """
+    before, front = {start: None}, [start]
+    forward = symmetric(edges).where("label = 'successor'").select("src", "dst")
+    while front and goal not in before:
+        found = forward.where(F.col("src").isin(front)).groupBy("dst").agg(F.min("src").alias("src")).orderBy("dst").collect()
+        front = [r["dst"] for r in found if r["dst"] not in before]
+        before |= {r["dst"]: r["src"] for r in found if r["dst"] not in before}
+    if goal not in before:
+        return None
+    out = [goal]
+    while out[-1] != start:
+        out.append(before[out[-1]])
+    return out[::-1]

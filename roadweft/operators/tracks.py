@@ -104,3 +104,10 @@ def view_box(tracks: DataFrame) -> DataFrame:
     """Bounds of all places, widened by the longest object."""
     m = F.max("length")
     return tracks.agg((F.min("x") - m).alias("x_min"), (F.max("x") + m).alias("x_max"), (F.min("y") - m).alias("y_min"), (F.max("y") + m).alias("y_max"))
+
+
+def frame_shapes(tracks: DataFrame, start: int = 0, end: int = -1) -> DataFrame:
+    """What a chart of frames draws: box corners, heading in degrees, the length of the heading's wedge and a label of the codes."""
+    shown = with_ring(frame_range(tracks if "frame" in tracks.columns else with_frames(tracks), start, end))
+    label = F.concat_ws("-", type_name(F.col("type")), F.when(F.col("subtype") != -1, F.col("subtype")).cast("string"))
+    return shown.select("frame", "idx", "x", "y", "ring", F.degrees("yaw").alias("heading"), (F.col("length") / 4).alias("wedge"), label.alias("label"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweft.functions import crs
+from roadweft.functions import crs, geometry
+from roadweft.operators import locate
+from roadweft.operators import tracks as T
 from roadweft.plans import segmentation
 from roadweft.plans.staging import fresh_path
 from roadweft.sources import opendrive, traces
@@ -125,3 +127,34 @@ def segment_hulls(spark, sf_dir):
     lanes = crossroads(spark, sf_dir)
     table = segmentation.segment_table(segmentation.centerline_segments(lanes), lanes)
     return table.select("segment", F.size("lane_ids").alias("lanes"), F.array_min("ring.x").alias("x_min"), F.array_max("ring.y").alias("y_max"))
+
+
+@query(f"WITH {SQL} SELECT event_id, round(x - 30, 6) AS s, round(3.0e0 * (idx % 10) - y, 6) + 0.0e0 AS t FROM tracks")
+def frenet_extended(spark, sf_dir):
+    """Along and across a line of 10 m that places lie before, beside and after."""
+    y = (F.col("idx") % 10) * 3.0
+    line = F.array(*(F.struct(F.lit(x).alias("x"), y.alias("y")) for x in (30.0, 40.0)))
+    out = tracks_from_events(spark, sf_dir).withColumn("p", locate.along(F.col("x"), F.col("y"), line))
+    return out.select("event_id", _rounded(F.col("p.s")).alias("s"), _rounded(F.col("p.t")).alias("t"))
+
+
+@query("SELECT n_nationkey AS k, i, round(u * 10, 6) AS x, round(1 + n_nationkey * (CASE WHEN u <= 0.5e0 THEN u ELSE 0.5e0 END), 6) AS y FROM nation, (VALUES (0, 0.0e0), (1, 0.25e0), (2, 0.5e0), (3, 1.0e0)) v(i, u)")
+def middle_lines(spark, sf_dir):
+    """Between a border along y = 2 with a point at a quarter, and one of two steps of equal length that rises and goes level."""
+    k = F.col("n_nationkey").cast("double")
+    point = lambda x, y: F.struct(F.lit(x).alias("x"), (y if not isinstance(y, float) else F.lit(y)).alias("y"))
+    left = F.array(point(0.0, 2.0), point(2.5, 2.0), point(10.0, 2.0))
+    # the second step is as long as the first
+    step = F.sqrt(25 + k * k)
+    right = F.array(point(0.0, F.lit(0.0)), point(5.0, k), F.struct((5 + step).alias("x"), k.alias("y")))
+    lines = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"), step.alias("step"), F.posexplode(geometry.middle_line(left, right)).alias("i", "p"))
+    # the level part is stretched back to a length of 5
+    x = F.when(F.col("i") == 3, F.col("p.x") - (F.col("step") - 5) / 2).otherwise(F.col("p.x"))
+    return lines.select("k", "i", F.round(x, 6).alias("x"), F.round(F.col("p.y") + 0.0, 6).alias("y"))
+
+
+@query(f"""WITH {SQL}, f AS (SELECT total_nanos, row_number() OVER (ORDER BY total_nanos) - 1 AS frame FROM (SELECT DISTINCT total_nanos FROM tracks))
+SELECT frame, idx, round(degrees(yaw), 6) AS heading, round(length / 4, 6) AS wedge, concat_ws('-', CASE type WHEN 2 THEN 'VEHICLE' WHEN 3 THEN 'PEDESTRIAN' END, CASE WHEN subtype <> -1 THEN subtype::VARCHAR END) AS label
+FROM tracks JOIN f USING (total_nanos) WHERE frame >= 10 AND frame < 500""")
+def frame_shapes(spark, sf_dir):
+    return T.frame_shapes(tracks_from_events(spark, sf_dir), 10, 500).select("frame", "idx", F.round("heading", 6).alias("heading"), F.round("wedge", 6).alias("wedge"), "label")

@@ -3,8 +3,11 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from roadweft.operators.locate import best_path
+from roadweft.functions.geometry import extended
+from roadweft.operators.locate import best_path, chunk_faults
+from roadweft.operators.maps import route
 from roadweft.sources.events import tracks_from_events
 from roadweft.sources.recordings import Recording, read_recording
 
@@ -27,3 +30,21 @@ def test_recording_round_trip(spark, tmp_path):
     back = read_recording(spark, path)
     assert back.host_vehicle_idx == 8 and back.projections[None]["x"] == 1.0 and back.projections[5]["yaw"] == 0.5
     assert back.df.count() == r.df.count() and back.objects().count() == r.objects().count()
+
+
+def test_faults_and_routes(spark):
+    point = "idx long, total_nanos long, x double, y double, lane_id long"
+    located = spark.createDataFrame([(1, 1, 1.0, 1.0, 5), (1, 2, 2.0, 1.0, 5), (1, 3, 3.0, 1.0, 5), (1, 4, 1.0, 1.0, None), (1, 5, 1.0, 1.0, 77), (1, 6, 1.0, 1.0, 6)], point)
+    lanes = spark.createDataFrame([(5,), (6,)], "lane_id long")
+    ring = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
+    segments = spark.createDataFrame([(0, ring)], "segment_idx long, ring array<struct<x:double,y:double>>")
+    found = chunk_faults(located, lanes, spark.createDataFrame([(5, 0)], "lane_id long, segment_idx long"), segments)
+    assert {(r["total_nanos"], r["fault"]) for r in found.collect()} == {(3, "outside"), (4, "no_lane"), (5, "unknown_lane"), (6, "no_segment")}
+    edges = spark.createDataFrame([(1, 2, "successor"), (3, 2, "predecessor"), (3, 4, "successor"), (1, 9, "successor")], "src long, dst long, label string")
+    assert route(edges, 1, 4) == [1, 2, 3, 4] and route(edges, 4, 1) is None and route(edges, 2, 2) == [2]
+
+
+def test_short_lines_become_stubs(spark):
+    lines = spark.createDataFrame([([(1.0, 2.0)],), ([(1.0, 2.0), (1.0, 2.0)],), ([(0.0, 0.0), (0.0, 0.0), (3.0, 0.0)],)], "line array<struct<x:double,y:double>>")
+    got = [[tuple(p) for p in r[0]] for r in lines.select(extended(F.col("line"), 5.0)).collect()]
+    assert got == [[(1.0, 1.0), (1.0, 3.0)]] * 2 + [[(-5.0, 0.0), (0.0, 0.0), (0.0, 0.0), (3.0, 0.0), (8.0, 0.0)]]
