@@ -22,17 +22,18 @@ SAME, FOLLOWS, BESIDE, UNRELATED = 1, 2, 3, 4
 EXTENT = 200.0
 
 
-def along(x: Column, y: Column, line: Column) -> Column:
-    """struct(d, s, t) on the extended line; s is negative before the line's start."""
-    return F.transform(F.array(geometry.project_on_line(x, y, geometry.extended(line, EXTENT))), lambda p: F.struct(p["d"].alias("d"), (p["s"] - EXTENT).alias("s"), p["t"].alias("t")))[0]
+def along(x: Column, y: Column, long: Column) -> Column:
+    """struct(d, s, t) on a line that was extended by EXTENT; s is negative before the start of the line as it was."""
+    found = F.transform(F.array(long), lambda line: geometry.project_on_line(x, y, line))
+    return F.transform(found, lambda p: F.struct(p["d"].alias("d"), (p["s"] - EXTENT).alias("s"), p["t"].alias("t")))[0]
 
 
 def candidates(points: DataFrame, lanes: DataFrame, half_width: float = 1.75, size: float = 25.0) -> DataFrame:
     """(idx, total_nanos, x, y, lane_id, d, s, t) for each lane within half_width of a point; d is the distance of the lane as it is, s and t count on the extended one."""
-    box = bounds(lanes).select("lane_id", "centerline", *((F.col(f"{c}_{e}") + (half_width if e == "max" else -half_width)).alias(f"{c}_{e}") for c in "xy" for e in ("min", "max")))
+    box = bounds(lanes).select("lane_id", "centerline", geometry.extended(F.col("centerline"), EXTENT).alias("long"), *((F.col(f"{c}_{e}") + (half_width if e == "max" else -half_width)).alias(f"{c}_{e}") for c in "xy" for e in ("min", "max")))
     met = grid_join(points.select("idx", "total_nanos", "x", "y"), box, size)
     near = met.withColumn("d", geometry.project_on_line(F.col("x"), F.col("y"), F.col("centerline"))["d"]).where(F.col("d") <= half_width)
-    return near.withColumn("p", along(F.col("x"), F.col("y"), F.col("centerline"))).select("idx", "total_nanos", "x", "y", "lane_id", "d", "p.s", "p.t")
+    return near.withColumn("p", along(F.col("x"), F.col("y"), F.col("long"))).select("idx", "total_nanos", "x", "y", "lane_id", "d", "p.s", "p.t")
 
 
 def nearest(points: DataFrame, lanes: DataFrame, reach: float = 50.0) -> DataFrame:

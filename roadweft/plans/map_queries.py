@@ -134,7 +134,7 @@ def frenet_extended(spark, sf_dir):
     """Along and across a line of 10 m that places lie before, beside and after."""
     y = (F.col("idx") % 10) * 3.0
     line = F.array(*(F.struct(F.lit(x).alias("x"), y.alias("y")) for x in (30.0, 40.0)))
-    out = tracks_from_events(spark, sf_dir).withColumn("p", locate.along(F.col("x"), F.col("y"), line))
+    out = tracks_from_events(spark, sf_dir).withColumn("p", locate.along(F.col("x"), F.col("y"), geometry.extended(line, locate.EXTENT)))
     return out.select("event_id", _rounded(F.col("p.s")).alias("s"), _rounded(F.col("p.t")).alias("t"))
 
 
