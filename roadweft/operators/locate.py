@@ -28,24 +28,32 @@ def along(x: Column, y: Column, long: Column) -> Column:
     return F.transform(found, lambda p: F.struct(p["d"].alias("d"), (p["s"] - EXTENT).alias("s"), p["t"].alias("t")))[0]
 
 
-def candidates(points: DataFrame, lanes: DataFrame, half_width: float = 1.75, size: float = 25.0) -> DataFrame:
-    """(idx, total_nanos, x, y, lane_id, d, s, t) for each lane within half_width of a point; d is the distance of the lane as it is, s and t count on the extended one."""
-    box = bounds(lanes).select("lane_id", "centerline", geometry.extended(F.col("centerline"), EXTENT).alias("long"), *((F.col(f"{c}_{e}") + (half_width if e == "max" else -half_width)).alias(f"{c}_{e}") for c in "xy" for e in ("min", "max")))
+def _near(points: DataFrame, lanes: DataFrame, reach: float, size: float) -> DataFrame:
+    """Points met with lanes within reach: distance d of the lane as it is, and its extended line."""
+    box = bounds(lanes).select("lane_id", "centerline", geometry.extended(F.col("centerline"), EXTENT).alias("long"), *((F.col(f"{c}_{e}") + (reach if e == "max" else -reach)).alias(f"{c}_{e}") for c in "xy" for e in ("min", "max")))
     met = grid_join(points.select("idx", "total_nanos", "x", "y"), box, size)
-    near = met.withColumn("d", geometry.project_on_line(F.col("x"), F.col("y"), F.col("centerline"))["d"]).where(F.col("d") <= half_width)
+    return met.withColumn("d", geometry.project_on_line(F.col("x"), F.col("y"), F.col("centerline"))["d"]).where(F.col("d") <= reach)
+
+
+def _placed(near: DataFrame) -> DataFrame:
     return near.withColumn("p", along(F.col("x"), F.col("y"), F.col("long"))).select("idx", "total_nanos", "x", "y", "lane_id", "d", "p.s", "p.t")
 
 
+def candidates(points: DataFrame, lanes: DataFrame, half_width: float = 1.75, size: float = 25.0) -> DataFrame:
+    """(idx, total_nanos, x, y, lane_id, d, s, t) for each lane within half_width of a point; s and t count on the extended lane."""
+    return _placed(_near(points, lanes, half_width, size))
+
+
 def nearest(points: DataFrame, lanes: DataFrame, reach: float = 50.0) -> DataFrame:
     """All lanes at the least distance of each point, ties kept, within reach."""
-    near = candidates(points, lanes, reach, max(25.0, reach))
-    return near.withColumn("least", F.min("d").over(W.partitionBy("idx", "total_nanos"))).where("d = least").drop("least")
+    return ring(points, lanes, 1.0, reach)
 
 
 def ring(points: DataFrame, lanes: DataFrame, tolerance: float = 1.1, reach: float = 50.0) -> DataFrame:
     """All lanes no farther than tolerance times the least distance."""
-    near = candidates(points, lanes, reach, max(25.0, reach))
-    return near.withColumn("least", F.min("d").over(W.partitionBy("idx", "total_nanos"))).where(F.col("d") <= tolerance * F.col("least")).drop("least")
+    near = _near(points, lanes, reach, max(25.0, reach))
+    least = F.min("d").over(W.partitionBy("idx", "total_nanos"))
+    return _placed(near.withColumn("least", least).where(F.col("d") <= tolerance * F.col("least")).drop("least"))
 
 
 def associate(points: DataFrame, lanes: DataFrame, half_width: float = 1.75, reach: float = 50.0) -> DataFrame:
