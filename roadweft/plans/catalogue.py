@@ -351,6 +351,13 @@ def light_nearest(spark, sf_dir):
     return rounded(maps.nearest_lane(lights, lanes(spark)), "distance")
 
 
+@query(f"{W_}, {LANES_SQL} SELECT event_id AS light_id, lane_id, round(abs(y - ly), 6) AS distance FROM tracks, lanes QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(y - ly), lane_id) = 1")
+def light_nearest_all(spark, sf_dir):
+    """As light_nearest, but for every row of events."""
+    lights = tracks_from_events(spark, sf_dir).select(F.col("event_id").alias("light_id"), "x", "y")
+    return rounded(maps.nearest_lane(lights, lanes(spark)), "distance")
+
+
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 2 WHEN 'view' THEN 2 ELSE 3 END AS type, CASE event_type WHEN 'click' THEN 2 WHEN 'view' THEN 2 ELSE -1 END AS role, CASE event_type WHEN 'click' THEN {car} WHEN 'view' THEN {bike} ELSE -1 END AS subtype FROM events".format(car=convert.VEHICLES["car"], bike=convert.VEHICLES["bicycle"]))
 def convert_classes(spark, sf_dir):
     kind = F.when(F.col("event_type") == "click", "Car").when(F.col("event_type") == "view", "bicycle").otherwise("motorcycle")

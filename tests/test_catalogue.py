@@ -31,3 +31,8 @@ def test_matches_sql(spark, name):
 
 def test_every_query_gives_rows(spark):
     assert catalogue.QUERIES["locate_tracks"](spark, DATA).count() > 0
+
+
+def test_every_event_is_a_light(spark):
+    events = {r["event_id"] for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_id").collect()}
+    assert {r["light_id"] for r in catalogue.QUERIES["light_nearest_all"](spark, DATA).collect()} == events
