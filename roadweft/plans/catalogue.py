@@ -173,6 +173,13 @@ def interpolate_list(spark, sf_dir):
     return _shown(resample.interpolate_times(tracks, tracks.where("event_id % 50 = 0").select((F.col("total_nanos") + 1_000_000_007).alias("t"))))
 
 
+@query(_interpolated("grid AS (SELECT DISTINCT total_nanos + 1000000007 AS t FROM tracks)"))
+def interpolate_list_all(spark, sf_dir):
+    """As interpolate_list, but onto the times of all events."""
+    tracks = tracks_from_events(spark, sf_dir)
+    return _shown(resample.interpolate_times(tracks, tracks.select((F.col("total_nanos") + 1_000_000_007).alias("t"))))
+
+
 _DEFAULT = "every40 AS (SELECT * FROM framed WHERE frame % 40 = 0), ends AS (SELECT min(total_nanos) AS a, max(total_nanos) AS b, (max(frame) // 40)::BIGINT AS n FROM every40), grid AS (SELECT CASE WHEN i = n - 1 THEN b ELSE floor(a + i * ((b - a) / (n - 1)::DOUBLE))::BIGINT END AS t FROM ends, range(1000000) r(i) WHERE i < n)"
 
 
@@ -183,6 +190,16 @@ def interpolate_default(spark, sf_dir):
     return _shown(resample.interpolate_times(tracks, resample.default_times(tracks, frames)))
 
 
+_DEFAULT_ALL = "ends AS (SELECT min(total_nanos) AS a, max(total_nanos) AS b, max(frame)::BIGINT AS n FROM framed), grid AS (SELECT CASE WHEN i = n - 1 THEN b ELSE floor(a + i * ((b - a) / (n - 1)::DOUBLE))::BIGINT END AS t FROM ends, range(1000000) r(i) WHERE i < n)"
+
+
+@query(_interpolated(_DEFAULT_ALL))
+def interpolate_default_all(spark, sf_dir):
+    """As interpolate_default, but with the operator's whole default grid."""
+    tracks = tracks_from_events(spark, sf_dir)
+    return _shown(resample.interpolate_times(tracks, resample.default_times(tracks, T.frame_dim(tracks))))
+
+
 _OFFSETS = "offsets AS (SELECT total_nanos, event_id % 10 * 1.0e0 AS ox, -2.0e0 AS oy, 0.5e0 AS oz, event_id % 3 * 0.1e0 AS oyaw FROM tracks WHERE event_id % 2 = 0)"
 
 
@@ -377,6 +394,13 @@ def union_tracks(spark, sf_dir):
     return tracks.where("idx < 5").unionByName(tracks.where("idx between 3 and 9"))
 
 
+@query(f"{W_} SELECT event_id, idx FROM tracks UNION ALL SELECT event_id, idx FROM tracks")
+def union_tracks_all(spark, sf_dir):
+    """Two whole tables, one after the other."""
+    tracks = tracks_from_events(spark, sf_dir).select("event_id", "idx")
+    return tracks.unionByName(tracks)
+
+
 @query(f"{W_}, {FRAMED} SELECT event_id, frame FROM framed WHERE frame >= 100 AND frame < 300")
 def frame_range(spark, sf_dir):
     return T.frame_range(T.with_frames(tracks_from_events(spark, sf_dir)), 100, 300).select("event_id", "frame")
