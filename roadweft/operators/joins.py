@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadweft.plans.staging import stage
+
 
 def band_join(left: DataFrame, right: DataFrame, column: str, buffer: int, suffix: str) -> DataFrame:
     """Pairs with right - buffer <= left <= right + buffer; right's columns get the suffix.
@@ -37,3 +39,29 @@ def grid_join(points: DataFrame, areas: DataFrame, size: float = 25.0) -> DataFr
     placed = points.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
     inside = F.col("x").between(F.col("x_min"), F.col("x_max")) & F.col("y").between(F.col("y_min"), F.col("y_max"))
     return placed.join(dealt, ["cx", "cy"]).where(inside).drop("cx", "cy")
+
+
+def until_found(points: DataFrame, areas: DataFrame, key: list[str], search, reach: float) -> DataFrame:
+    """search(points, reach), again with twice the reach for the points that it leaves out, until each is found.
+
+    areas have bounds (x_min .. y_max). Nothing is farther than the span of points and areas together, where the
+    search ends. Points without finite coordinates are found nowhere.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    todo = points.where(finite("x") & finite("y"))
+    out = stage(search(todo, reach), "joins-found")
+    rest, last = out, None
+    while True:
+        todo = stage(todo.join(rest.select(*key).distinct(), key, "left_anti"), "joins-left")
+        if todo.isEmpty():
+            return out
+        if last is None:
+            spans = [d.agg(*(f(c).cast("double") for f, c in zip((F.min, F.max, F.min, F.max), names, strict=True))).first() for d, names in ((todo, "xxyy"), (areas, ("x_min", "x_max", "y_min", "y_max")))]
+            if spans[1][0] is None:
+                return out
+            last = 2 * sum(max(a[i + 1], b[i + 1]) - min(a[i], b[i]) for a, b in [spans] for i in (0, 2)) + reach
+        if reach >= last:
+            return out
+        reach *= 2
+        rest = stage(search(todo, reach), "joins-found")
+        out = out.unionByName(rest)

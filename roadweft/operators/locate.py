@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from roadweft.functions import geometry
 from roadweft.operators import tracks as T
-from roadweft.operators.joins import grid_join
+from roadweft.operators.joins import grid_join, until_found
 from roadweft.operators.maps import bounds
 
 #: Costs of a step between lanes: the same lane, along the road, to a neighbour, unrelated.
@@ -45,19 +45,24 @@ def candidates(points: DataFrame, lanes: DataFrame, half_width: float = 1.75, si
 
 
 def nearest(points: DataFrame, lanes: DataFrame, reach: float = 50.0) -> DataFrame:
-    """All lanes at the least distance of each point, ties kept, within reach."""
+    """All lanes at the least distance of each point, ties kept, however far; the search begins within reach."""
     return ring(points, lanes, 1.0, reach)
 
 
 def ring(points: DataFrame, lanes: DataFrame, tolerance: float = 1.1, reach: float = 50.0) -> DataFrame:
-    """All lanes no farther than tolerance times the least distance."""
-    near = _near(points, lanes, reach, max(25.0, reach))
+    """All lanes no farther than tolerance times the least distance, however far; the search begins within reach."""
     least = F.min("d").over(W.partitionBy("idx", "total_nanos"))
-    return _placed(near.withColumn("least", least).where(F.col("d") <= tolerance * F.col("least")).drop("least"))
+
+    def search(some: DataFrame, within: float) -> DataFrame:
+        near = _near(some, lanes, within, max(25.0, within)).withColumn("least", least)
+        # a ring that goes beyond what was searched is not whole
+        return _placed(near.where((F.col("d") <= tolerance * F.col("least")) & (tolerance * F.col("least") <= within)).drop("least"))
+
+    return until_found(points.select("idx", "total_nanos", "x", "y"), bounds(lanes), ["idx", "total_nanos"], search, reach)
 
 
 def associate(points: DataFrame, lanes: DataFrame, half_width: float = 1.75, reach: float = 50.0) -> DataFrame:
-    """Lanes that hold a point; for points that none holds, the nearest."""
+    """Lanes that hold a point; for points that none holds, the nearest, however far."""
     held = candidates(points, lanes, half_width)
     lost = points.join(held.select("idx", "total_nanos").distinct(), ["idx", "total_nanos"], "left_anti")
     return held.unionByName(nearest(lost, lanes, reach))

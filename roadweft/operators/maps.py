@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from roadweft.functions import geometry
 from roadweft.operators.graph import components
-from roadweft.operators.joins import cells
+from roadweft.operators.joins import cells, grid_join, until_found
 
 #: Labels of lane relations; a later one replaces an earlier one for the same pair.
 LABELS = ("predecessor", "successor", "right neighbour", "left neighbour")
@@ -127,13 +127,17 @@ def approaching(lanes: DataFrame, edges: DataFrame, on_intersection: DataFrame)
 
 
 def nearest_lane(lights: DataFrame, lanes: DataFrame, size: float = 50.0, reach: float = 50.0) -> DataFrame:
-    """(light_id, lane_id, distance): each light's nearest lane within reach; the smaller lane on ties."""
-    box = bounds(lanes).withColumns({"x_min": F.col("x_min") - reach, "x_max": F.col("x_max") + reach, "y_min": F.col("y_min") - reach, "y_max": F.col("y_max") + reach})
-    dealt = cells(box, size, "x_min", "x_max", "y_min", "y_max").select("cx", "cy", "lane_id", "centerline")
-    placed = lights.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
-    met = placed.join(dealt, ["cx", "cy"]).withColumn("distance", geometry.project_on_line(F.col("x"), F.col("y"), F.col("centerline"))["d"]).where(F.col("distance") <= reach)
-    best = met.groupBy("light_id").agg(F.min(F.struct("distance", "lane_id")).alias("b"))
-    return best.select("light_id", "b.lane_id", "b.distance")
+    """(light_id, lane_id, distance): each light's nearest lane, however far; the smaller lane on ties. The search begins within reach."""
+    whole = bounds(lanes)
+
+    def search(some: DataFrame, within: float) -> DataFrame:
+        box = whole.withColumns({f"{c}_{e}": F.col(f"{c}_{e}") + (within if e == "max" else -within) for c in "xy" for e in ("min", "max")})
+        met = grid_join(some, box.select("lane_id", "centerline", "x_min", "x_max", "y_min", "y_max"), max(size, within))
+        met = met.withColumn("distance", geometry.project_on_line(F.col("x"), F.col("y"), F.col("centerline"))["d"]).where(F.col("distance") <= within)
+        best = met.groupBy("light_id").agg(F.min(F.struct("distance", "lane_id")).alias("b"))
+        return best.select("light_id", "b.lane_id", "b.distance")
+
+    return until_found(lights.select("light_id", "x", "y"), whole, ["light_id"], search, reach)
 
 
 def first_states(lights: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from roadweft.functions.geometry import extended
+from roadweft.operators import locate
 from roadweft.operators.locate import best_path, chunk_faults
-from roadweft.operators.maps import route
+from roadweft.operators.maps import nearest_lane, route
 from roadweft.sources.events import tracks_from_events
 from roadweft.sources.recordings import Recording, read_recording
 
@@ -48,3 +49,32 @@ def test_short_lines_become_stubs(spark):
     lines = spark.createDataFrame([([(1.0, 2.0)],), ([(1.0, 2.0), (1.0, 2.0)],), ([(0.0, 0.0), (0.0, 0.0), (3.0, 0.0)],)], "line array<struct<x:double,y:double>>")
     got = [[tuple(p) for p in r[0]] for r in lines.select(extended(F.col("line"), 5.0)).collect()]
     assert got == [[(1.0, 1.0), (1.0, 3.0)]] * 2 + [[(-5.0, 0.0), (0.0, 0.0), (0.0, 0.0), (3.0, 0.0), (8.0, 0.0)]]
+
+
+def test_far_points_have_a_lane(spark):
+    rng = np.random.default_rng(5)
+    lines = [(i, [tuple(map(float, p)) for p in rng.uniform(-200, 200, (3, 2))]) for i in range(6)]
+    lanes = spark.createDataFrame(lines, "lane_id long, centerline array<struct<x:double,y:double>>")
+    places = [(1, t, float(x), float(y)) for t, (x, y) in enumerate(rng.uniform(-1, 1, (60, 2)) * np.repeat([200, 900, 30_000], 20)[:, None])]
+    points = spark.createDataFrame([*places, (2, 0, float("nan"), 0.0), (2, 1, None, 0.0)], "idx long, total_nanos long, x double, y double")
+
+    def distance(x, y, line):
+        p = np.array([x, y])
+        parts = [(np.array(a), np.array(b) - np.array(a)) for a, b in itertools.pairwise(line)]
+        return min(float(np.hypot(*(p - a - np.clip((p - a) @ e / (e @ e), 0, 1) * e))) for a, e in parts)
+
+    every = {t: {i: distance(x, y, line) for i, line in lines} for _, t, x, y in places}
+    for tolerance, got in ((1.0, locate.nearest(points, lanes)), (1.1, locate.ring(points, lanes))):
+        want = {(t, i) for t, ds in every.items() for i, d in ds.items() if d <= tolerance * min(ds.values())}
+        assert {(r["total_nanos"], r["lane_id"]) for r in got.where("idx = 1").collect()} == want and got.where("idx = 2").isEmpty()
+    lights = nearest_lane(points.where("idx = 1").selectExpr("total_nanos as light_id", "x", "y"), lanes)
+    assert {r["light_id"]: r["lane_id"] for r in lights.collect()} == {t: min(ds, key=ds.get) for t, ds in every.items()}
+    assert locate.nearest(points, lanes.limit(0)).isEmpty()
+
+
+def test_far_rows_do_not_keep_an_earlier_place(spark):
+    lanes = spark.createDataFrame([(1, [(0.0, 0.0), (100.0, 0.0)]), (2, [(0.0, 500.0), (100.0, 500.0)])], "lane_id long, centerline array<struct<x:double,y:double>>")
+    tracks = spark.createDataFrame([(1, 1, 10.0, 0.0), (1, 2, 20.0, 400.0), (1, 3, 20.0, 400.0)], "idx long, total_nanos long, x double, y double")
+    edges = spark.createDataFrame([], "src long, dst long, label string")
+    got = {r["total_nanos"]: (r["lane_id"], round(r["s"], 6), round(r["t"], 6)) for r in locate.locate(tracks, lanes, edges).collect()}
+    assert got == {1: (1, 10.0, 0.0), 2: (2, 20.0, 100.0), 3: (2, 20.0, 100.0)}
