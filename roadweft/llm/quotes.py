@@ -2,19 +2,24 @@
 
 A line that begins with '>' marks is quoted, as deep as it has marks. Runs of lines of one depth are passages;
 a passage is normalised (lower case, white space runs to a space) and hashed. Messages are indexed by the hash
-of every unquoted passage and unquoted line. A passage is linked to the last earlier message of its
-conversation that has its hash, else to the first message of all that has it. The reply's parent is the message
-that its shallowest linked passage quotes. Conversations come back in reply order, each message without quotes.
+of every unquoted passage, paragraph and line. A passage is linked to the last earlier message of its
+conversation that has its hash, else to the first message of all that has it. A passage of several lines that none has
+is looked up by its pieces in the same way: its run of lines without the blank ones, its paragraphs, and stretches of
+its lines; the piece of most lines that is found gives the link, a single line only within the conversation.
+The reply's parent is the message that its shallowest linked passage quotes. Conversations come back in reply order,
+each message without quotes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from roadweft.llm.common import stage
 
+#: Lines without text part paragraphs.
+PARAGRAPH = r"\n\s*\n"
 MARKS = r"^((?:[ \t]*>)+)[ \t]?"
 
 
@@ -39,6 +44,67 @@ def passages(parsed: DataFrame) -> DataFrame:
     return grouped.select("m", "conv_id", "turn", "depth", F.col("ls")[0]["line"].alias("line"), F.array_join(F.col("ls.body"), "\n").alias("body"))
 
 
+def line_hashes(body: Column) -> Column:
+    """Hashes of the lines of a text that are not blank."""
+    return F.transform(F.filter(F.transform(F.split(body, "\n"), normal), lambda x: x != ""), lambda x: F.xxhash64(x))
+
+
+def window_hash(hashes: Column, start: Column, k: Column) -> Column:
+    """Hash of k lines from start, counted from 0."""
+    return F.xxhash64(k.cast("long"), F.slice(hashes, start.cast("int") + 1, k.cast("int")))
+
+
+def pieces(missed: DataFrame) -> DataFrame:
+    """m, conv_id, turn, line, depth, h, k, head of the pieces of passages: k lines, head the first one's hash, null where h is of text.
+
+    Stretches are as long as powers of two and begin at each half of their length, so a passage of n lines has
+    some 2 n log n hashes to make and any stretch that occurs holds a piece of a third of it at least.
+    """
+    rows = missed.withColumn("hs", line_hashes(F.col("body"))).where("size(hs) > 1")
+    n = F.size("hs")
+    powers = F.filter(F.transform(F.sequence(F.lit(0), F.floor(F.log2(n.cast("double"))).cast("int")), lambda j: F.pow(F.lit(2.0), j).cast("int")), lambda k: k <= n)
+    span = lambda i, k: F.struct(i.cast("int").alias("i"), k.cast("int").alias("k"))
+    starts = lambda k: F.sequence(F.lit(0), n - k, F.greatest(F.lit(1), F.floor(k / 2).cast("int")))
+    spans = F.concat(F.array(span(F.lit(0), n)), F.flatten(F.transform(powers, lambda k: F.concat(F.transform(starts(k), lambda i: span(i, k)), F.array(span(n - k, k))))))
+    shape = lambda h, k, head: F.struct(h.alias("h"), k.cast("int").alias("k"), head.cast("long").alias("head"))
+    null = F.lit(None)
+    # a line's hash is that of its text, as in the index
+    stretches = F.transform(spans, lambda p: F.when(p["k"] == 1, shape(F.get(F.col("hs"), p["i"]), F.lit(0), null)).otherwise(shape(window_hash(F.col("hs"), p["i"], p["k"]), p["k"], F.get(F.col("hs"), p["i"]))))
+    whole = F.transform(F.filter(F.split("body", PARAGRAPH), lambda x: normal(x) != ""), lambda x: shape(F.xxhash64(normal(x)), F.size(line_hashes(x)), null))
+    return rows.select("m", "conv_id", "turn", "line", "depth", F.inline(F.array_distinct(F.concat(stretches, whole))))
+
+
+def resolve(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """asked (m, line, conv_id, turn, h ..) with near (the last earlier turn of its conversation in index) and far (the first message of all, unless it is a later one of its conversation)."""
+    near = asked.select("m", "line", "conv_id", "turn", "h").join(index.select("h", "conv_id", F.col("turn").alias("t")), ["h", "conv_id"]).where("t < turn")
+    near = near.groupBy("m", "line", "h").agg(F.max("t").alias("near"))
+    first = index.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    found = asked.join(near, ["m", "line", "h"], "left").join(first, "h", "left")
+    far = F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & ~((F.col("first.conv_id") == F.col("conv_id")) & (F.col("first.turn") >= F.col("turn"))), F.col("first"))
+    return found.withColumn("far", far).drop("first")
+
+
+def link_pieces(missed: DataFrame, plain: DataFrame) -> DataFrame:
+    """m, conv_id, turn, line, depth, to of passages that a piece links: the piece of most lines, in the conversation if it can be."""
+    asked = stage(pieces(missed), "quotes-pieces")
+    texts = asked.where("head is null").select("h").distinct()
+    bodies = F.array_distinct(F.concat(line_hashes(F.col("body")), F.transform(F.split("body", PARAGRAPH), lambda x: F.xxhash64(normal(x)))))
+    index = plain.select("conv_id", "turn", F.explode(bodies).alias("h")).join(texts, "h", "left_semi")
+    # stretches are only hashed from lines that begin one which is asked for
+    lined = plain.select(F.monotonically_increasing_id().alias("p"), "conv_id", "turn", line_hashes(F.col("body")).alias("hs")).where("size(hs) > 1")
+    lined = stage(lined, "quotes-lines")
+    heads = asked.where("head is not null").select("head", "k").distinct().groupBy("head").agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    at = lined.select("p", F.size("hs").alias("n"), F.posexplode("hs").alias("i", "head")).join(heads, "head")
+    at = at.select("p", "n", "i", F.explode("ks").alias("k")).where("i + k <= n").groupBy("p").agg(F.collect_list(F.struct("i", "k")).alias("spans"))
+    made = lined.join(at, "p").select("conv_id", "turn", F.explode(F.array_distinct(F.transform("spans", lambda s: window_hash(F.col("hs"), s["i"], s["k"])))).alias("h"))
+    index = stage(index.union(made.join(asked.where("head is not null").select("h").distinct(), "h", "left_semi")).distinct(), "quotes-piece-index")
+    found = resolve(asked, index).where("near is not null or far is not null and k > 0")
+    to = F.when(F.col("near").isNotNull(), F.struct("conv_id", F.col("near").alias("turn"))).otherwise(F.col("far"))
+    # equal pieces: in the conversation first, its last turn, else the first message
+    rank = F.struct(F.col("k"), F.col("near").isNotNull(), F.coalesce("near", F.lit(0).cast("long")), -F.coalesce("far.conv_id", F.lit(0).cast("long")), -F.coalesce("far.turn", F.lit(0).cast("long")))
+    return found.groupBy("m", "conv_id", "turn", "line", "depth").agg(F.max_by(to, rank).alias("to"))
+
+
 def link_quotes(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Messages without quotes, and the links of passages.
 
@@ -58,16 +124,12 @@ def link_quotes(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     quoted = parts.where("depth > 0").withColumn("h", F.xxhash64(normal(F.col("body")))).where(F.length(normal(F.col("body"))) > 0)
     asked = quoted.select("h").distinct()
     plain = rows.where(~quoting).select("conv_id", "turn", F.col("text").alias("body")).union(parts.where("depth = 0").select("conv_id", "turn", "body")).where("body is not null and conv_id is not null and turn is not null")
-    bodies = F.array_distinct(F.concat(F.array(normal(F.col("body"))), F.transform(F.split("body", "\r?\n"), lambda x: normal(x))))
+    bodies = F.array_distinct(F.concat(F.array(normal(F.col("body"))), *(F.transform(F.split("body", p), lambda x: normal(x)) for p in ("\r?\n", PARAGRAPH))))
     index = plain.select("conv_id", "turn", F.explode(bodies).alias("b")).where("b <> ''").select("conv_id", "turn", F.xxhash64("b").alias("h")).join(asked, "h", "left_semi")
     index = stage(index.distinct(), "quotes-index")
-    near = quoted.select("m", "line", "conv_id", "turn", "h").join(index.select("h", "conv_id", F.col("turn").alias("t")), ["h", "conv_id"]).where("t < turn")
-    near = near.groupBy("m", "line").agg(F.max("t").alias("near"))
-    first = index.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    found = quoted.join(near, ["m", "line"], "left").join(first, "h", "left")
-    other = F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & ~((F.col("first.conv_id") == F.col("conv_id")) & (F.col("first.turn") >= F.col("turn"))), F.col("first"))
-    links = found.select("m", "conv_id", "turn", "line", "depth", F.when(F.col("near").isNotNull(), F.struct("conv_id", F.col("near").alias("turn"))).otherwise(other).alias("to"))
-    links = links.where("to is not null").select("m", "conv_id", "turn", "line", "depth", F.col("to.conv_id").alias("to_conv"), F.col("to.turn").alias("to_turn"))
+    found = stage(resolve(quoted, index).select("m", "conv_id", "turn", "line", "depth", "body", F.when(F.col("near").isNotNull(), F.struct("conv_id", F.col("near").alias("turn"))).otherwise(F.col("far")).alias("to")), "quotes-found")
+    links = found.where("to is not null").drop("body").unionByName(link_pieces(found.where("to is null and conv_id is not null and turn is not null"), plain))
+    links = links.select("m", "conv_id", "turn", "line", "depth", F.col("to.conv_id").alias("to_conv"), F.col("to.turn").alias("to_turn"))
     links = stage(links, "quotes-links")
     parent = links.groupBy("m").agg(F.min_by(F.struct("to_conv", "to_turn"), F.struct("depth", "line")).alias("p"))
     own = parts.where("depth = 0").groupBy("m").agg(F.sort_array(F.collect_list(F.struct("line", "body"))).alias("ls")).select("m", F.array_join(F.col("ls.body"), "\n").alias("rest"))

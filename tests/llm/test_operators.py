@@ -213,6 +213,27 @@ def test_quotes(spark):
     assert links.count() == 4
 
 
+def test_parts_of_messages_are_linked(spark):
+    body = "Dear all\n\nfirst line\nsecond line\nthird line\nfourth line\n\nShort one\n\nBye"
+    quote = lambda *ls: "\n".join("> " + x for x in ls) + "\nyes"
+    rows = [
+        (1, 0, "u", body), (1, 1, "a", "second line\nthird line\nunlike"),
+        (1, 2, "a", quote("first line", "second line")),  # two lines of a paragraph
+        (1, 3, "a", quote("first line", "second line", "third line", "fourth line")),  # a paragraph
+        (1, 4, "a", quote("first line second", "line third line fourth line")),  # the same, broken anew
+        (1, 5, "a", quote("Second  line", "third line", "fourth line")),  # all three, though a later message has two
+        (1, 6, "a", quote("fourth line", "", "Short one")),  # across paragraphs
+        (1, 7, "a", quote("first line", "second line", "[...]", "fourth line", "Short one", "Bye")),  # cut; the longer part counts
+        (1, 8, "a", quote("Short one", "not theirs")),  # one line, in the conversation
+        (2, 0, "a", quote("second line", "third line", "fourth line")),  # from another conversation
+        (2, 1, "a", quote("Bye", "not theirs")), (2, 2, "a", quote("never", "written")),
+    ]
+    out, _ = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    got = {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"]) for r in out.collect()}
+    nothing = [(1, 0), (1, 1), (2, 1), (2, 2)]
+    assert got == {k: (None, None) if k in nothing else (1, 0) for k in got}
+
+
 @pytest.mark.parametrize("which", ["awkward", "empty"])
 def test_odd_tables(request, which):
     docs = request.getfixturevalue(which)
