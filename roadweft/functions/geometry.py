@@ -69,6 +69,27 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.exists(edges(ring), on) | (F.size(F.filter(edges(ring), crosses)) % 2 == 1)
 
 
+def line_in_ring(line: Column, ring: Column) -> Column:
+    """Whether a closed ring covers a whole line: its points, the middles between the places where it meets the ring's points, and no crossing."""
+    cross = lambda o, a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
+
+    def crosses(e: Column, f: Column) -> Column:
+        return (cross(e["a"], e["b"], f["a"]) * cross(e["a"], e["b"], f["b"]) < 0) & (cross(f["a"], f["b"], e["a"]) * cross(f["a"], f["b"], e["b"]) < 0)
+
+    def share(e: Column, p: Column) -> Column:
+        ex, ey = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        return F.coalesce(F.try_divide((p["x"] - e["a"]["x"]) * ex + (p["y"] - e["a"]["y"]) * ey, ex * ex + ey * ey), F.lit(0.0))
+
+    def middles(e: Column) -> Column:
+        """Middles of the pieces into which the ring's points that lie on an edge cut it."""
+        on = F.filter(ring, lambda p: (cross(e["a"], e["b"], p) == 0) & share(e, p).between(0.0, 1.0))
+        cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.transform(on, lambda p: share(e, p)))))
+        return F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), lambda u, v: _between(e["a"], e["b"], (u + v) / 2))
+
+    covered = lambda p: point_in_ring(p["x"], p["y"], ring)
+    return F.forall(line, covered) & ~F.exists(edges(line), lambda e: F.exists(edges(ring), lambda f: crosses(e, f))) & F.forall(F.flatten(F.transform(edges(line), middles)), covered)
+
+
 def ring_area(ring: Column) -> Column:
     """Signed area of a closed ring; positive if it runs counter-clockwise."""
     return F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]) / 2)

@@ -29,10 +29,16 @@ def along(x: Column, y: Column, long: Column) -> Column:
 
 
 def _near(points: DataFrame, lanes: DataFrame, reach: float, size: float) -> DataFrame:
-    """Points met with lanes within reach: distance d of the lane as it is, and its extended line."""
-    box = bounds(lanes).select("lane_id", "centerline", geometry.extended(F.col("centerline"), EXTENT).alias("long"), *((F.col(f"{c}_{e}") + (reach if e == "max" else -reach)).alias(f"{c}_{e}") for c in "xy" for e in ("min", "max")))
+    """Points met with lanes within reach: distance d of the lane's polygon (0 inside) or else its line as it is, and its extended line."""
+    shaped = "polygon" in lanes.columns
+    shape = F.coalesce("polygon", "centerline") if shaped else F.col("centerline")
+    kept = ("polygon",) if shaped else ()
+    box = bounds(lanes.withColumn("line", F.col("centerline")).withColumn("centerline", shape)).select("lane_id", *kept, F.col("centerline").alias("shape"), geometry.extended(F.col("line"), EXTENT).alias("long"), *((F.col(f"{c}_{e}") + (reach if e == "max" else -reach)).alias(f"{c}_{e}") for c in "xy" for e in ("min", "max")))
     met = grid_join(points.select("idx", "total_nanos", "x", "y"), box, size)
-    return met.withColumn("d", geometry.project_on_line(F.col("x"), F.col("y"), F.col("centerline"))["d"]).where(F.col("d") <= reach)
+    d = geometry.project_on_line(F.col("x"), F.col("y"), F.col("shape"))["d"]
+    if shaped:
+        d = F.when(F.coalesce(geometry.point_in_ring(F.col("x"), F.col("y"), F.col("polygon")), F.lit(False)), 0.0).otherwise(d)
+    return met.withColumn("d", d).where(F.col("d") <= reach)
 
 
 def _placed(near: DataFrame) -> DataFrame:
@@ -40,8 +46,9 @@ def _placed(near: DataFrame) -> DataFrame:
 
 
 def candidates(points: DataFrame, lanes: DataFrame, half_width: float = 1.75, size: float = 25.0) -> DataFrame:
-    """(idx, total_nanos, x, y, lane_id, d, s, t) for each lane within half_width of a point; s and t count on the extended lane."""
-    return _placed(_near(points, lanes, half_width, size))
+    """(idx, total_nanos, x, y, lane_id, d, s, t) for each lane whose polygon covers a point (d 0), or within half_width for lanes without polygon; s and t count on the extended lane."""
+    near = _near(points, lanes, half_width, size)
+    return _placed(near.where("polygon is null or d = 0") if "polygon" in lanes.columns else near)
 
 
 def nearest(points: DataFrame, lanes: DataFrame, reach: float = 50.0) -> DataFrame:

@@ -26,6 +26,25 @@ def relation_edges(lanes: DataFrame) -> DataFrame:
     return out[0].union(out[1]).distinct()
 
 
+def neighbour_edges(lanes: DataFrame, size: float = 25.0) -> DataFrame:
+    """(src, dst, label): dst is a neighbour where its polygon covers the whole left_line or right_line of src; borders count as covered."""
+    sides = F.array(*(F.struct(F.lit(f"{side} neighbour").alias("label"), F.col(f"{side}_line").alias("line")) for side in ("right", "left")))
+    lines = lanes.where("left_line is not null and right_line is not null").select(F.col("lane_id").alias("src"), F.inline(sides)).where("size(line) > 0")
+    xs, ys = F.col("polygon.x"), F.col("polygon.y")
+    areas = lanes.where("polygon is not null").select(F.col("lane_id").alias("dst"), "polygon", F.array_min(xs).alias("x_min"), F.array_max(xs).alias("x_max"), F.array_min(ys).alias("y_min"), F.array_max(ys).alias("y_max"))
+    start = F.element_at("line", 1)
+    met = grid_join(lines.withColumns({"x": start["x"], "y": start["y"]}), areas, size).where("src <> dst")
+    return met.where(geometry.line_in_ring(F.col("line"), F.col("polygon"))).select("src", "dst", "label").distinct()
+
+
+def lane_edges(lanes: DataFrame) -> DataFrame:
+    """One label for each ordered pair of related lanes; neighbours only where lanes have borders and polygons."""
+    edges = relation_edges(lanes)
+    if {"polygon", "left_line", "right_line"} <= set(lanes.columns):
+        edges = edges.union(neighbour_edges(lanes))
+    return single_labels(edges)
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     """Each successor also as a predecessor the other way round, and the reverse."""
     other = F.when(F.col("label") == "successor", "predecessor").otherwise("successor")

@@ -420,4 +420,4 @@ def centerline_export(spark, sf_dir):
 def locate_tracks(spark, sf_dir):
     """Lane, s and t of each row by the cheapest path over lanes."""
     grid = lanes(spark)
-    return locate.locate(tracks_from_events(spark, sf_dir), grid, maps.relation_edges(grid))
+    return locate.locate(tracks_from_events(spark, sf_dir), grid, maps.lane_edges(grid))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadweft.functions.geometry import extended
 from roadweft.operators import locate
 from roadweft.operators.locate import best_path, chunk_faults
-from roadweft.operators.maps import nearest_lane, route
+from roadweft.operators.maps import lane_edges, nearest_lane, route
 from roadweft.sources.events import tracks_from_events
 from roadweft.sources.recordings import Recording, read_recording
 
@@ -78,3 +78,22 @@ def test_far_rows_do_not_keep_an_earlier_place(spark):
     edges = spark.createDataFrame([], "src long, dst long, label string")
     got = {r["total_nanos"]: (r["lane_id"], round(r["s"], 6), round(r["t"], 6)) for r in locate.locate(tracks, lanes, edges).collect()}
     assert got == {1: (1, 10.0, 0.0), 2: (2, 20.0, 100.0), 3: (2, 20.0, 100.0)}
+
+
+def test_polygons_and_neighbours(spark):
+    """Three lanes of 6 m beside each other from y = 0, the last without polygon; a fourth whose polygon is notched."""
+    point = "array<struct<x:double,y:double>>"
+    line = lambda y: [(0.0, y), (100.0, y)]
+    ring = lambda y: [(0.0, y), (100.0, y), (100.0, y + 6), (0.0, y + 6), (0.0, y)]
+    notched = [(0.0, -6.0), (100.0, -6.0), (100.0, 0.0), (60.0, 0.0), (50.0, -3.0), (40.0, 0.0), (0.0, 0.0), (0.0, -6.0)]
+    rows = [(i, line(6.0 * i + 3), line(6.0 * i + 6), line(6.0 * i), ring(6.0 * i) if i < 2 else None, [], []) for i in range(3)] + [(3, line(-3.0), line(0.0), line(-6.0), notched, [], [])]
+    lanes = spark.createDataFrame(rows, f"lane_id long, centerline {point}, left_line {point}, right_line {point}, polygon {point}, successor_ids array<long>, predecessor_ids array<long>")
+    edges = lane_edges(lanes)
+    # the notch leaves a part of lane 0's right line uncovered
+    assert {tuple(r) for r in edges.collect()} == {(0, 1, "left neighbour"), (1, 0, "right neighbour"), (2, 1, "right neighbour"), (3, 0, "left neighbour")}
+    points = spark.createDataFrame([(1, 1, 10.0, 0.5), (1, 2, 20.0, 6.0), (1, 3, 30.0, 11.5), (1, 4, 40.0, 14.0), (1, 5, 50.0, 17.5), (1, 6, 50.0, -1.0)], "idx long, total_nanos long, x double, y double")
+    held = {(r["total_nanos"], r["lane_id"]) for r in locate.candidates(points, lanes).collect()}
+    assert held == {(1, 0), (2, 0), (2, 1), (3, 1), (4, 2)}
+    got = {r["total_nanos"]: (r["lane_id"], round(r["s"], 6), round(r["t"], 6)) for r in locate.locate(points, lanes, edges).collect()}
+    # 17.5 is 2.5 from lane 2's line; -1 lies in the notch, 1 from lane 0 and farther from lane 3
+    assert {t: v[0] for t, v in got.items()} == {1: 0, 2: 0, 3: 1, 4: 2, 5: 2, 6: 0} and got[1] == (0, 10.0, 2.5)
