@@ -6,14 +6,15 @@ import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from roadweft.plans.staging import fresh_path, remove, shared_dir, stage
 
 #: Bytes of text that a kernel looks at in one go; one longer text is taken alone.
 CHUNK_BYTES = 1_000_000
 
-__all__ = ["CHUNK_BYTES", "chunks", "fresh_path", "offsets_list", "partitions", "release", "remove", "shared_dir", "stage", "text_bytes"]
+__all__ = ["CHUNK_BYTES", "chunks", "fresh_path", "offsets_list", "partitions", "release", "range_bounds", "range_of", "remove", "shared_dir", "stage", "text_bytes"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -26,6 +27,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def range_bounds(docs: DataFrame, key: Column, n: int) -> list[int]:
+    """At most n - 1 ascending values of a whole-number key that part its rows into ranges of about equal count; nulls are left out.
+
+    Only the key is read; what comes to the driver is n numbers.
+    """
+    found = docs.select(key.cast("long").alias("k")).agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [1.0], 20 * n)).first()[0]
+    return sorted(set(found or [])) if n > 1 else []
+
+
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """The number of bounds that lie below a key, by halving: the range that it belongs to. Null belongs to range 0."""
+    if not bounds:
+        return F.lit(0)
+    places = F.array(*map(F.lit, bounds))
+    powers = F.array(*(F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))))
+    further = lambda at, p: (at + p <= len(bounds)) & (F.get(places, at + p - 1) < key)
+    return F.when(key.isNull(), 0).otherwise(F.aggregate(powers, F.lit(0), lambda at, p: F.when(further(at, p), at + p).otherwise(at)))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of every text; null gives no bytes."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]

@@ -98,7 +98,7 @@ def tail(pieces: list[tuple[int, int, int]]) -> list[tuple[int, list[tuple[int,
     return out
 
 
-def _pack(path: str, end: int, tiers: tuple[int, ...], block_tokens: int, step_tokens: int):
+def _pack(path: str, end: int, tiers: tuple[int, ...], block_tokens: int, step_tokens: int, special_as_text: bool):
     def emit(ids: list, tokens: list[np.ndarray], first: int):
         windows = sorted(pack([len(t) for t in tokens], tiers), key=lambda w: -w[0])
         raw = [memoryview(t.tobytes()) for t in tokens]
@@ -115,7 +115,7 @@ def _pack(path: str, end: int, tiers: tuple[int, ...], block_tokens: int, step_t
         return len(windows), pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     def run(batches):
-        model, first = encoder(path, False), TaskContext.get().partitionId() << 32
+        model, first = encoder(path, False, special_as_text), TaskContext.get().partitionId() << 32
         ids, tokens, held = [], [], 0
         for batch in batches:
             texts, names = text_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
@@ -134,14 +134,15 @@ def _pack(path: str, end: int, tiers: tuple[int, ...], block_tokens: int, step_t
     return run
 
 
-def pack_documents(docs: DataFrame, vocabulary_path: str | None = None, end: int = END, tiers: tuple[int, ...] = TIERS, block_tokens: int = BLOCK_TOKENS, step_tokens: int = STEP_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary_path: str | None = None, end: int = END, tiers: tuple[int, ...] = TIERS, block_tokens: int = BLOCK_TOKENS, step_tokens: int = STEP_TOKENS, special_as_text: bool = False) -> DataFrame:
     """Pieces of packed sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
     A null or empty text has only the end id. Null and repeated doc_ids are packed like others: each row is a
-    document. No windows are padded: those at a task's end have falling powers of two.
+    document. No windows are padded: those at a task's end have falling powers of two. A special token's string in
+    a text becomes its id, as in the library, or ordinary text on demand.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_pack(vocabulary_path or vocabulary(VOCABULARY), end, tiers, block_tokens, step_tokens), SCHEMA)
+    return docs.mapInArrow(_pack(vocabulary_path or vocabulary(VOCABULARY), end, tiers, block_tokens, step_tokens, special_as_text), SCHEMA)
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

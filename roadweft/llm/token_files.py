@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from roadweft.llm.common import chunks, fresh_path, offsets_list, partitions, text_bytes
+from roadweft.llm.common import chunks, fresh_path, offsets_list, partitions, range_bounds, range_of, text_bytes
 from roadweft.llm.tokens import encoder, vocabulary
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
@@ -27,9 +27,9 @@ MOST_RANGES = 1 << 20
 SCHEMA = "doc_id long, part int, before long, n_tokens long, ids array<int>"
 
 
-def _encode(path: str, end: int):
+def _encode(path: str, end: int, special_as_text: bool):
     def run(batches):
-        model, part, before = encoder(path, True), TaskContext.get().partitionId(), 0
+        model, part, before = encoder(path, True, special_as_text), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts, ids = text_bytes(batch.column("text")), batch.column("doc_id")
             for lo, hi in chunks(texts, 4_000_000):
@@ -45,16 +45,17 @@ def _encode(path: str, end: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary_path: str | None = None, end: int = END, n: int | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary_path: str | None = None, end: int = END, n: int | None = None, special_as_text: bool = False) -> None:
     """Write (doc_id, part, before, n_tokens, ids) of docs (doc_id, text) in ascending doc_id order, files named in that order.
 
     A document's ids end with the end id, so an empty or null text has that one id. Null doc_ids come first;
-    rows that repeat an id follow each other, in the order of their texts. Ids are unsigned values below 2**31.
+    rows that repeat an id are one range, and follow each other in the order of their texts. Ids are unsigned
+    values below 2**31. A special token's string in a text becomes its id, as in the library, or ordinary text on demand.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = docs.repartitionByRange(n or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    tokens = docs.mapInArrow(_encode(vocabulary_path or vocabulary(VOCABULARY), end), SCHEMA)
+    bounds = range_bounds(docs, F.col("doc_id"), n or partitions(docs.sparkSession))
+    docs = docs.repartitionById(len(bounds) + 1, range_of(F.col("doc_id"), bounds)).sortWithinPartitions("doc_id", "text")
+    tokens = docs.mapInArrow(_encode(vocabulary_path or vocabulary(VOCABULARY), end, special_as_text), SCHEMA)
     options = {
         "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.page.row.count.limit": PAGE_ROWS,
         "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true",

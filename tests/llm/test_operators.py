@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from roadweft.llm import fingerprints, flac, flac_media, jaccard, language, mixing, packing, quality, queries, quotes, substring, token_files
+from roadweft.llm import fingerprints, flac, flac_media, jaccard, language, mixing, packing, quality, queries, quotes, substring, token_files, tokens
 from roadweft.llm.tokens import Encoder, vocabulary
 
 DATA = "/root/testdata/sf0.001"
@@ -116,16 +116,32 @@ def test_mixing_equals_sql(spark):
     assert all(t <= 2 * n for _, n, _, _, t in got)
 
 
+PARTS = ["a", "b", "Z", "s", "'", "'s", "'re", "'LL", "1", "23", ".", "!", "-", "_", "é", "É", "×", "÷", "ß", "\u0301", "\u0338", "中", "日本", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u200b", "\u2003", "\u3000", "½", "²", "Ⅷ", "٣", "İ", "ı", "ſ", "ﬁ", "<|", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "|>", "don't", "'ve", "😀", "\ufeff", "\x00", "ª", "¿", "«"]
+
+
+@pytest.mark.parametrize("special_as_text", [False, True])
 @pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_encoder_equals_library(name, keeps):
-    texts = [t for _, t, *_ in documents()] + ["", "a  b", "  x\n\n y \t z ", "don't I'LL é̈a ", "<|endoftext|> x", "a b", " \n\t a", "\n\n", "İ ß a​b"]
+def test_encoder_equals_library(name, keeps, special_as_text):
+    rng = np.random.default_rng(11)
+    made = ["".join(PARTS[i] for i in rng.integers(0, len(PARTS), n)) for n in rng.integers(0, 14, 4000)]
+    texts = [t for _, t, *_ in documents()] + ["", "a  b", "  x\n\n y \t z ", "don't I'LL é̈a ", "a <|endoftext|> b", "<|startoftext|>x", " \n\t a", "\n\n", "İ ß a​b", *made]
     whole = Tokenizer.from_file(vocabulary(name))
-    whole.encode_special_tokens = True
-    model = Encoder(vocabulary(name), keeps)
+    if special_as_text:
+        whole.encode_special_tokens = True
+    model = Encoder(vocabulary(name), keeps, special_as_text)
     want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in model.encode([t.encode() for t in texts])] == want
 
 
+def test_encoder_forgets_pieces_and_still_agrees(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 500)
+    monkeypatch.setattr(tokens, "BATCH", 3000)
+    texts = [t for _, t, *_ in documents()]
+    name = vocabulary("byte_bpe_50k.json")
+    want = [e.ids for e in Tokenizer.from_file(name).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in Encoder(name, True).encode([t.encode() for t in texts])] == want
+
+
 def test_packing_covers_each_id_once(spark):
     whole = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     ids = {d: np.asarray([*whole.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for d, t, *_ in documents()}
