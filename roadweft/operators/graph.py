@@ -15,7 +15,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     round to round, and edges are renamed and made distinct; the edges shrink by a constant factor a round.
     The first order is the node itself, so stars vanish at once. Null ends and loops are dropped.
     """
-    labels, turn = None, 0
+    labels, held, turn = None, None, 0
     edges = stage(edges.select("a", "b").where("a <> b").distinct(), name)
     while not edges.isEmpty():
 
@@ -30,12 +30,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             ends = ends.join(moves.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")), c)
         left = stage(ends.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
         if labels is None:
-            new = moves.select("node", F.col("to").alias("root"))
+            labels, held = moves.select("node", F.col("to").alias("root")), moves
         else:
             step = moves.select(F.col("node").alias("root"), "to")
             new = stage(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), name)
-            remove(edges.sparkSession, moves)
-            remove(edges.sparkSession, labels)
-        remove(edges.sparkSession, edges)
-        labels, edges, turn = new, left, turn + 1
+            remove(moves, held)
+            labels = held = new
+        remove(edges)
+        edges, turn = left, turn + 1
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
