@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,19 +13,13 @@ from roadweft.plans.staging import fresh_path, remove, shared_dir, stage
 #: Bytes of text that a kernel looks at in one go; one longer text is taken alone.
 CHUNK_BYTES = 1_000_000
 
-__all__ = ["CHUNK_BYTES", "chunks", "fresh_path", "offsets_list", "partitions", "release", "range_bounds", "range_of", "remove", "shared_dir", "stage", "text_bytes"]
+__all__ = ["CHUNK_BYTES", "chunks", "fresh_path", "offsets_list", "partitions", "range_bounds", "range_of", "remove", "shared_dir", "stage", "text_bytes"]
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results have been written; it does so when their plans are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def range_bounds(docs: DataFrame, key: Column, n: int) -> list[int]:
     """At most n - 1 ascending values of a whole-number key that part its rows into ranges of about equal count; nulls are left out.
 

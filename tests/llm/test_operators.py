@@ -5,9 +5,11 @@ import itertools
 import json
 import zlib
 from pathlib import Path
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -57,21 +59,75 @@ def linked(rows):
     return sets, [find(i) for i in range(len(rows))]
 
 
-def test_jaccard_equals_all_pairs(spark):
+def near_copies():
+    """Documents, and groups with links of all strengths that share passages with each other."""
     rows = [(d, t) for d, t, *_ in documents()]
     rng = np.random.default_rng(3)
     base = [f"v{i}" for i in range(200)]
-    for i in range(60):  # a group with links of all strengths
+    for i in range(60):
         w = list(base)
         for j in rng.integers(0, 200, rng.integers(0, 6)):
             w[j] = f"n{i}-{j}"
         rows.append((10_000 + i, " ".join(w)))
+    for i in range(40):  # a chain: each like the one before, the ends unlike
+        rows.append((20_000 + i, " ".join(base[3 * i : 3 * i + 80] + [f"c{j}" for j in range(i, i + 40)])))
+    return rows
+
+
+def all_pairs_groups(rows):
     sets, root = linked(rows)
     low = {}
     for (d, _), r in zip(rows, root, strict=True):
         low[r] = min(low.get(r, d), d)
+    return {d: (len(s), low[r]) for (d, _), s, r in zip(rows, sets, root, strict=True)}
+
+
+@pytest.mark.parametrize("small_blocks", [False, True])
+def test_jaccard_equals_all_pairs(spark, monkeypatch, small_blocks):
+    if small_blocks:  # large groups: pivots, groups dealt anew, pairs of blocks
+        for name, value in (("BLOCK", 4), ("MANY", 12), ("HEAVY", 64), ("BUCKET", 3000)):
+            monkeypatch.setattr(jaccard, name, value)
+    rows = near_copies()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == all_pairs_groups(rows)
+
+
+def test_pairs_of_blocks_connect_what_all_pairs_connect(spark, monkeypatch):
+    for name, value in (("BLOCK", 4), ("MANY", 10_000)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = near_copies()[200:]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {d: (len(s), low[r]) for (d, _), s, r in zip(rows, sets, root, strict=True)}
+    assert got == all_pairs_groups(rows)
+
+
+def test_cells_of_the_count_never_outgrow_their_keys(monkeypatch):
+    monkeypatch.setattr(jaccard.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    rng = np.random.default_rng(2)
+    for sets, keys in ((1, 5), (300, 3), (3000, 40), (70_000, 12), (2000, 90_000)):
+        counts = np.bincount(rng.integers(0, sets, keys), minlength=sets)
+        raw = jaccard.packed_counts(counts)
+        who, n = jaccard.counted(raw)
+        back = np.zeros(sets, np.int64)
+        back[who] += n
+        assert (back == counts).all() and len(raw) <= 2 + 8 * keys
+    # twice the buckets: no more than twice the cells, and each holds what its keys need
+    size = lambda buckets: sum(len(c) for b in jaccard._heads_and_keys(5, buckets, "keys")([_batch()]) for c in b.column(4).to_pylist())
+    assert size(4000) <= 6 * size(4) and size(16_000) <= 1.5 * size(4000)
+
+
+def _batch():
+    rows = documents()
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["doc_id", "text"])
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(3, b, "s"), (5, a, "s"), (5, b, "s"), (7, b + " b60", "s"), (None, b, "s"), (8, "", "s"), (8, "", "s"), (9, None, "s"), (9, None, "s"), (5, a, "r"), (None, "x y z", "q"), (None, "x y z", None), (4, "X  y Z", "s")]
+    left = jaccard.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    want = [(3, b, "s"), (5, a, "r"), (8, "", "s"), (8, "", "s"), (9, None, "s"), (9, None, "s"), (4, "X  y Z", "s")]
+    assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, want))
+    lone = [(None, "x y z", "q"), (None, "x y z", None), (None, "x  y z", "q")]
+    assert jaccard.drop_near_copies(spark.createDataFrame(lone, "doc_id long, text string, source string")).count() == 1
 
 
 def test_tree_traversal_connects_what_all_pairs_connect():
