@@ -110,9 +110,10 @@ def test_cells_of_the_count_never_outgrow_their_keys(monkeypatch):
         back = np.zeros(sets, np.int64)
         back[who] += n
         assert (back == counts).all() and len(raw) <= 2 + 8 * keys
-    # twice the buckets: no more than twice the cells, and each holds what its keys need
-    size = lambda buckets: sum(len(c) for b in jaccard._heads_and_keys(5, buckets, "keys")([_batch()]) for c in b.column(4).to_pylist())
-    assert size(4000) <= 6 * size(4) and size(16_000) <= 1.5 * size(4000)
+    cells = lambda buckets: [c for b in jaccard._heads_and_keys(5, buckets, "keys")([_batch()]) for c in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True) if c[0] >= 0]
+    keys = {n: sum(len(c[1]) // 4 for c in cells(n)) for n in (4, 4000, 16_000)}
+    assert len(set(keys.values())) == 1
+    assert all(sum(len(c[2]) for c in cells(n)) <= 10 * keys[n] for n in keys)
 
 
 def _batch():
