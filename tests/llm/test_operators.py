@@ -168,9 +168,50 @@ def test_substrings_equal_plain(spark):
 def test_mixing_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{DATA}/documents.parquet')")
-    got = sorted(tuple(r) for r in mixing.op1_mixing(spark, DATA).select("doc_id", "size", "source_size", "target", "taken").collect())
-    assert got == sorted(con.execute(mixing.ORACLE).fetchall())
-    assert all(t <= 2 * n for _, n, _, _, t in got)
+    got = sorted(map(tuple, mixing.op1_mixing(spark, DATA).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "slots").collect()), key=repr)
+    assert got == sorted(con.execute(mixing.ORACLE).fetchall(), key=repr)
+    assert all(r[4] <= 2 * r[1] for r in got)
+
+
+def van_der_corput(n, bits):
+    return sum((n >> k & 1) << (bits - 1 - k) for k in range(bits))
+
+
+@pytest.mark.parametrize("targets", [(5000.5, 700.0, 0.0, 90_000.0, 1.0), (512.0,), (511.0, 513.0), (0.0, 0.0), (40_000.0, 20_000.0, 20_000.0)])
+def test_schedule_keeps_the_shares_in_every_stretch(spark, targets):
+    goals = spark.createDataFrame([(i, float(t)) for i, t in enumerate(targets)], "rank long, target double")
+    rows = sorted((r["slot"], r["rank"], r["block_no"], r["words"]) for r in mixing.schedule(goals).collect())
+    blocks = [-(-int(t) // 512) for t in targets]
+    ends = list(itertools.accumulate(blocks))
+    bits = max(sum(blocks) - 1, 0).bit_length()
+    want, seen = [], [0] * len(targets)
+    for slot in range(1 << bits if sum(blocks) else 0):
+        point = van_der_corput(slot, bits)
+        if point < sum(blocks):
+            rank = next(i for i, e in enumerate(ends) if point < e)
+            want.append((slot, rank, seen[rank], min(512, int(targets[rank]) - 512 * seen[rank])))
+            seen[rank] += 1
+    assert rows == want
+    taken = [0] * len(targets)
+    for n, (_, rank, _, _) in enumerate(rows, 1):
+        taken[rank] += 1
+        assert all(abs(x - n * b / sum(blocks)) <= 1 + bits / 2 for x, b in zip(taken, blocks, strict=True))
+    assert [sum(w for _, r, _, w in rows if r == i) for i in range(len(targets))] == [int(t) for t in targets]
+
+
+def test_mixed_documents_come_in_the_order_of_their_slots(spark, awkward):
+    docs = awkward.selectExpr("*", "1 as c0", "2 as file", "3 as `row`")
+    rows = mixing.mixed_documents(docs).collect()
+    sizes = {}
+    for r in awkward.collect():
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len((r["text"] or "").encode().split())
+    goals = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+    taken = dict.fromkeys(sizes, 0)
+    for r in rows:
+        taken[r["source"]] += len(r["text"].encode().split())
+        assert r["n_chars"] == len(r["text"])
+    assert taken == {s: int(t) for s, t in goals.items()}
+    assert mixing.mixed_documents(docs).collect() == rows and rows[0].asDict().keys() == set(docs.columns)
 
 
 PARTS = ["a", "b", "Z", "s", "'", "'s", "'re", "'LL", "1", "23", ".", "!", "-", "_", "é", "É", "×", "÷", "ß", "\u0301", "\u0338", "中", "日本", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u200b", "\u2003", "\u3000", "½", "²", "Ⅷ", "٣", "İ", "ı", "ſ", "ﬁ", "<|", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "|>", "don't", "'ve", "😀", "\ufeff", "\x00", "ª", "¿", "«"]
