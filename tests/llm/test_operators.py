@@ -348,6 +348,47 @@ def test_parts_of_messages_are_linked(spark):
     assert got == {k: (None, None) if k in nothing else (1, 0) for k in got}
 
 
+def made_up_replies(seed, n_conversations=25, n_turns=9):
+    """Messages that quote earlier ones, whole, in part and nested, with repeats, nulls and quotes of nothing."""
+    rng = np.random.default_rng(seed)
+    words = ["yes", "No", "the  cat", "sat", "on", "a mat", "why?", "Ünder", "x"]
+    pick = lambda n: [" ".join(rng.choice(words, rng.integers(1, 4))) for _ in range(n)]
+    rows = []
+    for c in range(n_conversations):
+        bodies = []
+        for t in range(n_turns):
+            lines = []
+            for _ in range(rng.integers(0, 3)):
+                source = bodies if bodies and rng.random() < 0.7 else [r[3] for r in rows if r[3]] or [""]
+                old = source[rng.integers(len(source))].split("\n")
+                i = rng.integers(0, len(old))
+                quoted = old[i : i + rng.integers(1, 6)] if rng.random() < 0.6 else old
+                quoted = [x.upper() if rng.random() < 0.2 else x for x in quoted] + pick(1) * int(rng.random() < 0.2)
+                lines += [rng.choice(["> ", ">", " > "]) + x for x in quoted]
+                lines += pick(rng.integers(0, 2))
+            lines += pick(rng.integers(0, 4)) + [""] * int(rng.random() < 0.3) + pick(rng.integers(0, 3))
+            text = None if rng.random() < 0.04 else ("\r\n" if rng.random() < 0.1 else "\n").join(lines)
+            if text:
+                bodies.append(text.replace("\r", ""))
+            rows.append((None if rng.random() < 0.03 else c, None if rng.random() < 0.03 else t, rng.choice(["u", "a"]), text))
+    return rows + rows[:: n_conversations * 3]
+
+
+@pytest.mark.parametrize(("seed", "stretch"), [(1, 4096), (2, 3), (3, 1), (None, 4096)])
+def test_quotes_equal_sql(spark, monkeypatch, seed, stretch):
+    monkeypatch.setattr(quotes, "STRETCH", stretch)
+    rows = made_up_replies(seed) if seed else []
+    messages = spark.createDataFrame([(*r[:2], None if r[2] is None else str(r[2]), r[3]) for r in rows], "conv_id long, turn int, role string, text string")
+    con = duckdb.connect()
+    arrow = pa.table({"conv_id": pa.array([r[0] for r in rows], pa.int64()), "turn": pa.array([r[1] for r in rows], pa.int32()), "role": pa.array([r[2] and str(r[2]) for r in rows], pa.string()), "text": pa.array([r[3] for r in rows], pa.string())})
+    con.register("conversations", arrow)
+    names = ["conv_id", "turn", "role", "own_text", "n_quotes", "depth", "parent_conv", "parent_turn", "thread"]
+    want = sorted(con.execute(f"SELECT {', '.join(names)} FROM ({quotes.ORACLE})").fetchall(), key=repr)
+    got = sorted(map(tuple, quotes.link_quotes(messages.selectExpr("*", "1 as m", "2 as line"))[0].select(*names).collect()), key=repr)
+    assert got == want
+    assert not seed or sum(r[6] is not None for r in got) > 50
+
+
 @pytest.mark.parametrize("which", ["awkward", "empty"])
 def test_odd_tables(request, which):
     docs = request.getfixturevalue(which)
