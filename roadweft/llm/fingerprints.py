@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweft.llm import hashing
-from roadweft.llm.common import partitions
+from roadweft.llm.common import partitions, range_bounds, range_of
 
 LEAST, NORMAL, MOST = 16, 64, 256
 #: Zero bits wanted of the gear hash before and after the normal size.
@@ -84,25 +84,6 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - cut] + after[:cut]
 
 
-def _deal(bounds: list[int]):
-    """Adds the range of each row, and to each range a copy of the row that follows its last (copy 1)."""
-    edges = np.array(bounds, np.int64)
-
-    def run(batches):
-        for batch in batches:
-            key = batch.column("key").to_numpy()
-            part = np.searchsorted(edges, key).astype(np.int32)
-            # the first row of range p follows the last of range p + 1, and that of the last range closes the ring
-            copies = np.flatnonzero(edges[part] == key)
-            take = np.concatenate([np.arange(len(key)), copies])
-            to = np.concatenate([part, (part[copies] + 1) % len(edges)]).astype(np.int32)
-            copy = np.concatenate([np.zeros(len(key), np.int8), np.ones(len(copies), np.int8)])
-            out = batch.take(pa.array(take))
-            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(copy), out.column("key"), out.column("doc_id"), out.column("text")], names=["part", "copy", "key", "doc_id", "text"])
-
-    return run
-
-
 def _fingerprints(batches):
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -126,19 +107,20 @@ def fingerprint_neighbours(docs: DataFrame, n: int | None = None) -> DataFrame:
 
     The edited text has its last third of code points replaced by the first ones of the next document in
     descending doc_id; the first follows the last. Null text is empty. Null ids come after all others; rows
-    that repeat an id follow each other in the order of their texts. The rows are range partitioned once; each
-    range also gets a copy of the row that follows it, so no rows are joined.
+    that repeat an id are one range, and follow each other in the order of their texts. The rows are dealt once,
+    each range of ids to a task of its own; each range also gets a copy of the row that follows it, so no rows are joined.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = n or partitions(spark)
-    found = docs.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 20 * n), F.max("key")).first()
-    if found[1] is None:
-        bounds = [0]
-    else:
-        bounds = sorted({*found[0], found[1]})
-    dealt = docs.mapInArrow(_deal(bounds), "part int, copy byte, key long, doc_id long, text string")
-    dealt = dealt.repartition(len(bounds), "part").sortWithinPartitions("part", "copy", F.desc("key"), "text")
+    names = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text")]
+    docs = docs.select(*names)
+    top = docs.agg(F.max("key")).first()[0]
+    edges = sorted({*range_bounds(docs, F.col("key"), n or partitions(docs.sparkSession)), NO_ID if top is None else top})
+    # the first row of range p follows the last of range p + 1, and that of the last range closes the ring
+    to = lambda part, copy: F.struct(part.cast("int").alias("part"), F.lit(copy).alias("copy"))
+    part = F.col("p")
+    first = F.get(F.array(*map(F.lit, edges)), part) == F.col("key")
+    both = F.when(first, F.array(to(part, 0), to((part + 1) % len(edges), 1))).otherwise(F.array(to(part, 0)))
+    dealt = docs.withColumn("p", range_of(F.col("key"), edges)).select("key", "doc_id", "text", F.inline(both))
+    dealt = dealt.repartitionById(len(edges), "part").sortWithinPartitions("part", "copy", F.desc("key"), "text")
     return dealt.mapInArrow(_fingerprints, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
