@@ -8,7 +8,6 @@ centroids are rejected.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 DIMS, GRAMS = 8192, (1, 2, 3)
-#: Documents of a language that k-means sees at most on average, centroids of a language, and rounds.
+#: Documents of a language that k-means sees at most, centroids of a language, and rounds.
 SAMPLE, CENTROIDS, ROUNDS = 400, 3, 8
 #: A text is rejected below this part of the lowest hundredth of the sample's own cosines.
 REJECT = 0.4
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 KEEP = np.full(256, 32, np.uint8)
 KEEP[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -61,7 +60,8 @@ class Model:
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and LETTER.search(text) is not None
+    """Whether a text has a character of Unicode's category L."""
+    return text is not None and any(map(str.isalpha, text))
 
 
 def k_means(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
@@ -95,7 +95,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, roun
     """A model of training rows (doc_id, text, lang) with non-null lang.
 
     sample is the bound on documents of a language that are gathered for its centroids: those with the smallest
-    hashes of id and text. An empty training table gives a model that calls everything unknown.
+    hashes of id and text, repeated rows once. An empty training table gives a model that calls everything unknown.
     """
     train = train.where("lang is not null and text is not null")
     df = np.ones(DIMS)
@@ -109,9 +109,12 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, roun
     per = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}  # a row for each language
     if not per:
         return Model([], idf, np.zeros((0, DIMS), np.float32), 0.0)
-    share = F.element_at(F.create_map(*(F.lit(x) for lang, c in per.items() for x in (lang, min(1.0, sample / c)))), F.col("lang"))
-    point = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    rows = train.where(point < share).select("lang", "text").collect()
+    # about a half more than wanted, cut to the least hashes
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, c in per.items() for x in (lang, min(1.0, 1.5 * sample / c)))), F.col("lang"))
+    drawn = train.withColumn("point", F.xxhash64("doc_id", "text")).where(F.pmod("point", F.lit(1 << 30)) / float(1 << 30) < share)
+    drawn = drawn.groupBy("lang", "point").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("point", F.lit(1 << 30)), "point"))
+    rows = drawn.withColumn("r", rank).where(F.col("r") <= sample).select("lang", "text").collect()
     langs, cents, own = [], [], []
     for lang in sorted(per):
         texts = [r["text"] for r in rows if r["lang"] == lang and has_letter(r["text"])]
