@@ -14,11 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from roadweft.llm import hashing
 from roadweft.llm.common import chunks, text_bytes
 
-#: Documents of either set that are gathered for training, on average at most.
+#: Documents of either set that are gathered for training at most.
 SAMPLE = 8000
 HIDDEN, ROUNDS, RATE, SEED = 24, 400, 0.02, 7
 THRESHOLD = 0.3
@@ -136,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | N
     """A network from docs (doc_id, text) and labels (doc_id, quality); None if there is nothing to learn from.
 
     The positives are labelled 1 outside the held-out ids, the unlabelled rows any documents outside them.
-    sample bounds, on average, the rows of either set that are gathered: those with the smallest hashes. The
+    sample bounds the rows of either set that are gathered: those with the smallest hashes, repeated rows once. The
     prior is the share of 1 among all labels outside the held-out ids, with one more of each class.
     Null labels and ids are no labels.
     """
@@ -147,10 +148,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | N
     if not good or not n_docs:
         return None
     prior = (good + 1) / (n + 2)
-    point = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    pos = rest.join(known.where("quality = 1").where(point < sample / good).select("doc_id").distinct(), "doc_id", "left_semi").select(F.lit(True).alias("good"), "text")
-    unl = rest.where(F.coalesce(point, F.lit(0.0)) < sample / n_docs).select(F.lit(False).alias("good"), "text")
-    rows = pos.union(unl).mapInArrow(_vectors, "good boolean, x binary").collect()
+    point = F.xxhash64(F.lit(SEED), "doc_id", "text")
+    # about a half more than wanted, cut to the least hashes
+    drawn = lambda df, count: df.withColumn("point", point).where(F.pmod("point", F.lit(1 << 30)) / float(1 << 30) < 1.5 * sample / count)
+    pos = drawn(rest.join(known.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi"), good).select(F.lit(True).alias("good"), "point", "text")
+    unl = drawn(rest, n_docs).select(F.lit(False).alias("good"), "point", "text")
+    both = pos.unionByName(unl).groupBy("good", "point").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(W.partitionBy("good").orderBy(F.pmod("point", F.lit(1 << 30)), "point"))
+    rows = both.withColumn("r", rank).where(F.col("r") <= sample).select("good", "text").mapInArrow(_vectors, "good boolean, x binary").collect()
     sides = [np.array([np.frombuffer(r["x"], np.float32) for r in rows if r["good"] is g]) for g in (True, False)]
     if not len(sides[0]) or not len(sides[1]):
         return None
