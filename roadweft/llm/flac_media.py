@@ -50,7 +50,10 @@ def encode_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and what the stored stream's samples show; a stream with a wrong checksum fails the job. Null media gives nulls."""
+    """doc_id, n_bytes and what the stored stream's samples and seek table show; a stream with a wrong checksum fails the job. Null media gives nulls.
+
+    blocks is the number of PCM blocks that can be sought, last_sample where the last one begins; null without a seek table.
+    """
 
     def run(batches):
         for batch in batches:
@@ -59,6 +62,7 @@ def read_media(media: DataFrame) -> DataFrame:
                 part, streams = batch.slice(lo, hi - lo), raw[lo:hi]
                 there = iter(flac.decode([s for s in streams if s is not None]))
                 payloads = [None if s is None else next(there) for s in streams]
+                points = [None if s is None else flac.parse_stream(s).points for s in streams]
                 cols = [
                     (pa.int64(), [None if p is None else len(p) for p in payloads]),
                     (pa.string(), [None if p is None else hashlib.sha256(p).hexdigest() for p in payloads]),
@@ -66,14 +70,19 @@ def read_media(media: DataFrame) -> DataFrame:
                     (pa.int64(), [None if s is None else len(s) for s in streams]),
                     (pa.string(), [None if s is None else hashlib.sha256(s).hexdigest() for s in streams]),
                     (pa.string(), [None if p is None else feature(p) for p in payloads]),
+                    (pa.int64(), [None if p is None else len(p) for p in points]),
+                    (pa.int64(), [None if p is None else int(p["sample"][-1]) for p in points]),
                 ]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(v, k) for k, v in cols)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(v, k) for k, v in cols)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "blocks", "last_sample"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, blocks long, last_sample long")
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """doc_id, block, sample (offset of the block's first), byte (offset in the audio part), n, pcm: every frame of every stream, decoded."""
+    """doc_id, block, sample (offset of the block's first), byte (offset in the audio part), n, pcm: every frame of every stream, decoded.
+
+    Null media and streams without a seek table have no blocks. Rows that repeat an id have theirs each.
+    """
 
     def run(batches):
         for batch in batches:
@@ -81,6 +90,8 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
                 if raw is None:
                     continue
                 payload, points = flac.decode([raw])[0], flac.parse_stream(raw).points
+                if points is None:
+                    continue
                 rows = [(doc_id, i, int(p["sample"]), int(p["byte"]), int(p["n"]), payload[int(p["sample"]) : int(p["sample"]) + int(p["n"])]) for i, p in enumerate(points)]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*rows, strict=True)), kinds, strict=True)], names=["doc_id", "block", "sample", "byte", "n", "pcm"])
