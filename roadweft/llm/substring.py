@@ -133,15 +133,16 @@ def _cut(width: int):
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, short: int = ANCHOR) -> DataFrame:
-    """docs (doc_id, text, others with names of their own) with n_words, n_removed, removed intervals of word positions, and kept words joined by a space.
+    """docs with n_words, n_removed, removed intervals of word positions, and kept words joined by a space; other columns of those names are replaced.
 
     A word is removed if it lies in a window of width words that also starts in a document with a smaller
     doc_id, judged on the input. Null or empty text: no words, nothing removed, kept is ''. A null id: it is
     smaller than nothing and has nothing smaller, so its text stays whole and removes nothing. Rows that
     repeat an id are each cut against smaller ids, never against each other.
     """
-    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
+    made = T.StructType.fromDDL("n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept string")
+    extra = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", *made.names)}
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f"`{c}`").alias(n) for c, n in extra.items()))
     named = docs.where("doc_id is not null").select("doc_id", "text")
     found = named.mapInArrow(_anchor_rows(width, short), "doc_id long, anchor long")
     many = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
@@ -150,8 +151,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, short: int = ANCHOR) ->
     windows = stage(windows, "substring-windows")
     counted = windows.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w", "lo")
     bad = windows.join(counted, "w").where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("w").alias("ws"))
-    made = T.StructType.fromDDL("n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept string")
-    return docs.join(bad, "doc_id", "left").select(*docs.columns, "ws").mapInArrow(_cut(width), T.StructType([*docs.schema.fields, *made.fields]))
+    out = docs.join(bad, "doc_id", "left").select(*docs.columns, "ws").mapInArrow(_cut(width), T.StructType([*docs.schema.fields, *made.fields]))
+    return out.select("doc_id", "text", *(F.col(n).alias(c) for c, n in extra.items()), *made.names)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -171,3 +172,15 @@ def cut_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         kind = docs.schema["n_chars"].dataType
         new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(kind)).otherwise(F.col(names["n_chars"]))
     return cut.select(*(new[c].alias(c) for c in docs.columns))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i + 1 : i + 50], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(len(ws) - 49)) AS i FROM d WHERE len(ws) >= 50)),
+f AS (SELECT h, min(doc_id) AS lo FROM w GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM w JOIN f USING (h) WHERE lo < doc_id),
+every AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM every ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
