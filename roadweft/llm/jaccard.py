@@ -412,7 +412,8 @@ def similar_nodes(docs: DataFrame, heads: DataFrame, k: int, percent: int) -> Da
     chosen = heads.where("node is not null").groupBy("node").agg(least).join(nodes, "node").select("node", "r.doc_id", "r.h")
     chosen = stage(chosen, "jaccard-chosen")
     same = docs["doc_id"].eqNullSafe(chosen["doc_id"]) & (docs["h"] == chosen["h"])
-    sets = docs.join(chosen, same).select("text", "node").mapInArrow(_token_rows(k), "node long, n long, tokens binary").dropDuplicates(["node"])
+    # the chosen texts grow with the input: a shuffled join that can spill at every size
+    sets = docs.join(chosen.hint("merge"), same).select("text", "node").mapInArrow(_token_rows(k), "node long, n long, tokens binary").dropDuplicates(["node"])
     sets = stage(sets, "jaccard-sets")
 
     occur = sets.mapInArrow(_exploded, "node long, n long, t long")
@@ -570,3 +571,15 @@ def drop_near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     repeated = docs.join(rest, hit, "left_semi").select(F.col("doc_id").alias("a"), F.xxhash64("text").alias("b"), whole.alias("row"), F.to_json(whole).alias("order"))
     once = repeated.groupBy("a", "b").agg(F.min_by("row", "order").alias("row"))
     return kept.unionByName(once.select("row.*"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(greatest(len(ws) - 4, 1)), lambda i: array_to_string(ws[i + 1 : i + 5], ' '))) AS shingle FROM d WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, low) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node WHERE r.low < e.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(low) AS component_id FROM r GROUP BY node) c USING (doc_id)
+"""
