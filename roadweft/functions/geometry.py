@@ -54,8 +54,8 @@ def edges(ring: Column) -> Column:
     return F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
-def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Whether a closed ring covers a point; points on its border count."""
+def point_in_ring(x: Column, y: Column, ring: Column, border: bool = True) -> Column:
+    """Whether a closed ring holds a point; whether points on its border count is said by border."""
     def on(e: Column) -> Column:
         cross = (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (x - e["a"]["x"])
         between = x.between(F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"])) & y.between(F.least(e["a"]["y"], e["b"]["y"]), F.greatest(e["a"]["y"], e["b"]["y"]))
@@ -66,7 +66,8 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
         at = e["a"]["x"] + F.try_divide((y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]), e["b"]["y"] - e["a"]["y"])
         return F.coalesce(spans & (x < at), F.lit(False))
 
-    return F.exists(edges(ring), on) | (F.size(F.filter(edges(ring), crosses)) % 2 == 1)
+    inside = F.size(F.filter(edges(ring), crosses)) % 2 == 1
+    return F.exists(edges(ring), on) | inside if border else inside & ~F.exists(edges(ring), on)
 
 
 def line_in_ring(line: Column, ring: Column) -> Column:
@@ -107,19 +108,31 @@ def line_length(line: Column) -> Column:
 
 def project_on_line(x: Column, y: Column, line: Column) -> Column:
     """(distance, s, t) of a point on a line: s along it, t across it, negative on the left. The first nearest segment counts."""
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("struct<d:double,s:double,t:double>").alias("best"))
+    # a step for each value that is used more than once: lambdas work out what they hold anew each time
+    steps = F.transform(edges(line), lambda e: F.struct((e["b"]["x"] - e["a"]["x"]).alias("ex"), (e["b"]["y"] - e["a"]["y"]).alias("ey"), (x - e["a"]["x"]).alias("px"), (y - e["a"]["y"]).alias("py")))
+    steps = F.transform(steps, lambda e: F.struct(e["ex"].alias("ex"), e["ey"].alias("ey"), e["px"].alias("px"), e["py"].alias("py"), norm(e["ex"], e["ey"]).alias("size"), _share(e["px"] * e["ex"] + e["py"] * e["ey"], e["ex"] * e["ex"] + e["ey"] * e["ey"]).alias("u")))
+    steps = F.transform(steps, lambda e: F.struct(norm(e["px"] - e["u"] * e["ex"], e["py"] - e["u"] * e["ey"]).alias("d"), (e["u"] * e["size"]).alias("s"), (e["ex"] * e["py"] - e["ey"] * e["px"] > 0).alias("left"), e["size"].alias("size")))
+    start = F.struct(F.lit(0.0).alias("at"), *(F.lit(None).cast(k).alias(n) for n, k in (("d", "double"), ("s", "double"), ("left", "boolean"))))
 
-    def step(acc: Column, e: Column) -> Column:
-        ex, ey = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
-        size = norm(ex, ey)
-        u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((x - e["a"]["x"]) * ex + (y - e["a"]["y"]) * ey, size * size), F.lit(0.0))))
-        d = norm(x - e["a"]["x"] - u * ex, y - e["a"]["y"] - u * ey)
-        left = ex * (y - e["a"]["y"]) - ey * (x - e["a"]["x"]) > 0
-        found = F.struct(d.alias("d"), (acc["s"] + u * size).alias("s"), F.when(left, -d).otherwise(d).alias("t"))
-        best = F.when(acc["best"].isNull() | (found["d"] < acc["best"]["d"]), found).otherwise(acc["best"])
-        return F.struct((acc["s"] + size).alias("s"), best.alias("best"))
-
-    return F.aggregate(edges(line), start, step, lambda acc: acc["best"])
+    def nearer(acc: Column, e: Column) -> Column:
+        best = F.when(acc["d"].isNull() | (e["d"] < acc["d"]), F.struct(e["d"].alias("d"), (acc["at"] + e["s"]).alias("s"), e["left"].alias("left"))).otherwise(F.struct(acc["d"].alias("d"), acc["s"].alias("s"), acc["left"].alias("left")))
+        return F.struct((acc["at"] + e["size"]).alias("at"), best["d"].alias("d"), best["s"].alias("s"), best["left"].alias("left"))
+
+    def place(acc: Column) -> Column:
+        return F.when(acc["d"].isNotNull(), F.struct(acc["d"].alias("d"), acc["s"].alias("s"), F.when(acc["left"], -acc["d"]).otherwise(acc["d"]).alias("t")))
+
+    return F.aggregate(steps, start, nearer, place)
+
+
+def _share(dot: Column, square: Column) -> Column:
+    """dot / square cut to 0 .. 1; 0 for an edge without length."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(dot, square), F.lit(0.0))))
+
+
+def edge_distance(x: Column, y: Column, ax: Column, ay: Column, ex: Column, ey: Column) -> Column:
+    """The distance of a point from the edge that leads by (ex, ey) from (ax, ay); no lambdas, so it is compiled."""
+    u = _share((x - ax) * ex + (y - ay) * ey, ex * ex + ey * ey)
+    return norm(x - ax - u * ex, y - ay - u * ey)
 
 
 def _between(a: Column, b: Column, u: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadweft.functions import geometry
 from roadweft.plans.staging import stage
 
 
@@ -41,6 +42,21 @@ def grid_join(points: DataFrame, areas: DataFrame, size: float = 25.0) -> DataFr
     return placed.join(dealt, ["cx", "cy"]).where(inside).drop("cx", "cy")
 
 
+def edge_join(points: DataFrame, shapes: DataFrame, reach: float, size: float = 25.0) -> DataFrame:
+    """Points (x, y) met with the edges of shapes within reach: the points' columns, those of shapes but its line, and distance d.
+
+    A row for each edge of a line that is near enough; lines are taken apart once, before points meet them.
+    """
+    rest = [c for c in shapes.columns if c != "line"]
+    e = shapes.select(*rest, F.explode(geometry.edges(F.col("line"))).alias("e"))
+    e = e.select(*rest, F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), (F.col("e.b.x") - F.col("e.a.x")).alias("ex"), (F.col("e.b.y") - F.col("e.a.y")).alias("ey"))
+    low = lambda c: F.col(f"a{c}") + F.least(F.lit(0.0), F.col(f"e{c}")) - reach
+    high = lambda c: F.col(f"a{c}") + F.greatest(F.lit(0.0), F.col(f"e{c}")) + reach
+    areas = e.withColumns({"x_min": low("x"), "x_max": high("x"), "y_min": low("y"), "y_max": high("y")})
+    met = grid_join(points, areas, size).withColumn("d", geometry.edge_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "ex", "ey"))))
+    return met.where(F.col("d") <= reach).select(*points.columns, *rest, "d")
+
+
 def until_found(points: DataFrame, areas: DataFrame, key: list[str], search, reach: float) -> DataFrame:
     """search(points, reach), again with twice the reach for the points that it leaves out, until each is found.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from roadweft.functions import geometry
 from roadweft.operators import tracks as T
-from roadweft.operators.joins import grid_join, until_found
+from roadweft.operators.joins import edge_join, grid_join, until_found
 from roadweft.operators.maps import bounds
 
 #: Costs of a step between lanes: the same lane, along the road, to a neighbour, unrelated.
@@ -28,47 +28,53 @@ def along(x: Column, y: Column, long: Column) -> Column:
     return F.transform(found, lambda p: F.struct(p["d"].alias("d"), (p["s"] - EXTENT).alias("s"), p["t"].alias("t")))[0]
 
 
+KEY = ["idx", "total_nanos", "x", "y"]
+
+
 def _near(points: DataFrame, lanes: DataFrame, reach: float, size: float) -> DataFrame:
-    """Points met with lanes within reach: distance d of the lane's polygon (0 inside) or else its line as it is, and its extended line."""
-    shaped = "polygon" in lanes.columns
-    shape = F.coalesce("polygon", "centerline") if shaped else F.col("centerline")
-    kept = ("polygon",) if shaped else ()
-    box = bounds(lanes.withColumn("line", F.col("centerline")).withColumn("centerline", shape)).select("lane_id", *kept, F.col("centerline").alias("shape"), geometry.extended(F.col("line"), EXTENT).alias("long"), *((F.col(f"{c}_{e}") + (reach if e == "max" else -reach)).alias(f"{c}_{e}") for c in "xy" for e in ("min", "max")))
-    met = grid_join(points.select("idx", "total_nanos", "x", "y"), box, size)
-    d = geometry.project_on_line(F.col("x"), F.col("y"), F.col("shape"))["d"]
-    if shaped:
-        d = F.when(F.coalesce(geometry.point_in_ring(F.col("x"), F.col("y"), F.col("polygon")), F.lit(False)), 0.0).otherwise(d)
-    return met.withColumn("d", d).where(F.col("d") <= reach)
+    """(idx, total_nanos, x, y, lane_id, d, shaped): points met with lanes within reach; d to the lane's polygon (0 inside) or else to its line as it is."""
+    points = points.select(*KEY)
+    shaped = F.col("polygon").isNotNull() if "polygon" in lanes.columns else F.lit(False)
+    line = F.coalesce("polygon", "centerline") if "polygon" in lanes.columns else F.col("centerline")
+    met = edge_join(points, lanes.select("lane_id", shaped.alias("shaped"), line.alias("line")), reach, size)
+    if "polygon" in lanes.columns:
+        xs, ys = F.col("polygon.x"), F.col("polygon.y")
+        areas = lanes.where(shaped).select("lane_id", "polygon", F.array_min(xs).alias("x_min"), F.array_max(xs).alias("x_max"), F.array_min(ys).alias("y_min"), F.array_max(ys).alias("y_max"))
+        inside = grid_join(points, areas, size).where(geometry.point_in_ring(F.col("x"), F.col("y"), F.col("polygon")))
+        met = met.unionByName(inside.select(*KEY, "lane_id", F.lit(True).alias("shaped"), F.lit(0.0).alias("d")))
+    return met.groupBy(*KEY, "lane_id").agg(F.min("d").alias("d"), F.max("shaped").alias("shaped"))
 
 
-def _placed(near: DataFrame) -> DataFrame:
-    return near.withColumn("p", along(F.col("x"), F.col("y"), F.col("long"))).select("idx", "total_nanos", "x", "y", "lane_id", "d", "p.s", "p.t")
+def _placed(near: DataFrame, lanes: DataFrame) -> DataFrame:
+    """Rows with s and t on their lanes, which are made longer once."""
+    long = lanes.select("lane_id", geometry.extended(F.col("centerline"), EXTENT).alias("long"))
+    return near.join(long, "lane_id").withColumn("p", along(F.col("x"), F.col("y"), F.col("long"))).select(*KEY, "lane_id", "d", "p.s", "p.t")
 
 
 def candidates(points: DataFrame, lanes: DataFrame, half_width: float = 1.75, size: float = 25.0) -> DataFrame:
     """(idx, total_nanos, x, y, lane_id, d, s, t) for each lane whose polygon covers a point (d 0), or within half_width for lanes without polygon; s and t count on the extended lane."""
-    near = _near(points, lanes, half_width, size)
-    return _placed(near.where("polygon is null or d = 0") if "polygon" in lanes.columns else near)
+    return _placed(_near(points, lanes, half_width, size).where("not shaped or d = 0"), lanes)
 
 
-def nearest(points: DataFrame, lanes: DataFrame, reach: float = 50.0) -> DataFrame:
+def nearest(points: DataFrame, lanes: DataFrame, reach: float = 25.0) -> DataFrame:
     """All lanes at the least distance of each point, ties kept, however far; the search begins within reach."""
     return ring(points, lanes, 1.0, reach)
 
 
-def ring(points: DataFrame, lanes: DataFrame, tolerance: float = 1.1, reach: float = 50.0) -> DataFrame:
+def ring(points: DataFrame, lanes: DataFrame, tolerance: float = 1.1, reach: float = 25.0) -> DataFrame:
     """All lanes no farther than tolerance times the least distance, however far; the search begins within reach."""
-    least = F.min("d").over(W.partitionBy("idx", "total_nanos"))
 
     def search(some: DataFrame, within: float) -> DataFrame:
-        near = _near(some, lanes, within, max(25.0, within)).withColumn("least", least)
+        near = _near(some, lanes, within, max(25.0, within))
+        per = near.groupBy(*KEY).agg(F.min("d").alias("least"), F.collect_list(F.struct("lane_id", "d")).alias("found"))
         # a ring that goes beyond what was searched is not whole
-        return _placed(near.where((F.col("d") <= tolerance * F.col("least")) & (tolerance * F.col("least") <= within)).drop("least"))
+        per = per.where(tolerance * F.col("least") <= within)
+        return per.select(*KEY, F.inline(F.filter("found", lambda f: f["d"] <= tolerance * F.col("least"))))
 
-    return until_found(points.select("idx", "total_nanos", "x", "y"), bounds(lanes), ["idx", "total_nanos"], search, reach)
+    return _placed(until_found(points.select(*KEY), bounds(lanes), ["idx", "total_nanos"], search, reach), lanes)
 
 
-def associate(points: DataFrame, lanes: DataFrame, half_width: float = 1.75, reach: float = 50.0) -> DataFrame:
+def associate(points: DataFrame, lanes: DataFrame, half_width: float = 1.75, reach: float = 25.0) -> DataFrame:
     """Lanes that hold a point; for points that none holds, the nearest, however far."""
     held = candidates(points, lanes, half_width)
     lost = points.join(held.select("idx", "total_nanos").distinct(), ["idx", "total_nanos"], "left_anti")
@@ -157,8 +163,8 @@ def chunk_faults(located: DataFrame, lanes: DataFrame, lane_segment: DataFrame,
 
 
 def time_on_segment(tracks: DataFrame, segments: DataFrame) -> DataFrame:
-    """First and last time of each object inside each segment's ring; gaps count as inside."""
+    """First and last time of each object within each segment's ring; its border is outside, gaps count as inside."""
     xs, ys = F.col("ring.x"), F.col("ring.y")
     areas = segments.withColumns({"x_min": F.array_min(xs), "x_max": F.array_max(xs), "y_min": F.array_min(ys), "y_max": F.array_max(ys)}).select("segment_idx", "ring", "x_min", "x_max", "y_min", "y_max")
-    inside = grid_join(tracks.select("idx", "total_nanos", "x", "y"), areas).where(geometry.point_in_ring(F.col("x"), F.col("y"), F.col("ring")))
+    inside = grid_join(tracks.select("idx", "total_nanos", "x", "y"), areas).where(geometry.point_in_ring(F.col("x"), F.col("y"), F.col("ring"), border=False))
     return inside.groupBy("segment_idx", "idx").agg(F.min("total_nanos").alias("t_in"), F.max("total_nanos").alias("t_out"))

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from roadweft.functions import geometry
 from roadweft.operators.graph import components
-from roadweft.operators.joins import cells, grid_join, until_found
+from roadweft.operators.joins import cells, edge_join, grid_join, until_found
 
 #: Labels of lane relations; a later one replaces an earlier one for the same pair.
 LABELS = ("predecessor", "successor", "right neighbour", "left neighbour")
@@ -145,18 +145,15 @@ def approaching(lanes: DataFrame, edges: DataFrame, on_intersection: DataFrame)
     return out.select("lane_id", on.alias("on_intersection"), (F.coalesce("before", F.lit(False)) & ~on).alias("is_approaching"))
 
 
-def nearest_lane(lights: DataFrame, lanes: DataFrame, size: float = 50.0, reach: float = 50.0) -> DataFrame:
+def nearest_lane(lights: DataFrame, lanes: DataFrame, size: float = 25.0, reach: float = 25.0) -> DataFrame:
     """(light_id, lane_id, distance): each light's nearest lane, however far; the smaller lane on ties. The search begins within reach."""
-    whole = bounds(lanes)
+    shapes = lanes.select("lane_id", F.col("centerline").alias("line"))
 
     def search(some: DataFrame, within: float) -> DataFrame:
-        box = whole.withColumns({f"{c}_{e}": F.col(f"{c}_{e}") + (within if e == "max" else -within) for c in "xy" for e in ("min", "max")})
-        met = grid_join(some, box.select("lane_id", "centerline", "x_min", "x_max", "y_min", "y_max"), max(size, within))
-        met = met.withColumn("distance", geometry.project_on_line(F.col("x"), F.col("y"), F.col("centerline"))["d"]).where(F.col("distance") <= within)
-        best = met.groupBy("light_id").agg(F.min(F.struct("distance", "lane_id")).alias("b"))
-        return best.select("light_id", "b.lane_id", "b.distance")
+        best = edge_join(some, shapes, within, max(size, within)).groupBy("light_id").agg(F.min(F.struct("d", "lane_id")).alias("b"))
+        return best.select("light_id", "b.lane_id", F.col("b.d").alias("distance"))
 
-    return until_found(lights.select("light_id", "x", "y"), whole, ["light_id"], search, reach)
+    return until_found(lights.select("light_id", "x", "y"), bounds(lanes), ["light_id"], search, reach)
 
 
 def first_states(lights: DataFrame) -> DataFrame:

@@ -354,7 +354,7 @@ def run_length_split(spark, sf_dir):
     return T.runs(located(spark, sf_dir).withColumn("value", F.col("lane_id") % 4), "idx", "total_nanos", "value")
 
 
-@query(f"{W_} SELECT s AS segment_idx, idx, min(total_nanos) AS t_in, max(total_nanos) AS t_out FROM tracks, range(4) r(s) WHERE x BETWEEN s * 25 AND s * 25 + 20 AND y BETWEEN 3 AND 12 GROUP BY ALL")
+@query(f"{W_} SELECT s AS segment_idx, idx, min(total_nanos) AS t_in, max(total_nanos) AS t_out FROM tracks, range(4) r(s) WHERE x > s * 25 AND x < s * 25 + 20 AND y > 3 AND y < 12 GROUP BY ALL")
 def time_on_segment(spark, sf_dir):
     i = F.col("id")
     corners = ((0.0, 3.0), (20.0, 3.0), (20.0, 12.0), (0.0, 12.0), (0.0, 3.0))
