@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ def norm(a: Column, b: Column) -> Column:
     return F.sqrt(a * a + b * b)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def wrap(angle: Column) -> Column:
     """The angle in [-pi, pi)."""
     return F.pmod(angle + math.pi, F.lit(2 * math.pi)) - math.pi
@@ -144,16 +150,20 @@ def extended(line: Column, by: float) -> Column:
 
     A line without two different points becomes a vertical stub of 2 m around its first point; an empty one is null.
     """
-    first, last = F.element_at(line, 1), F.element_at(line, -1)
-    second = F.get(F.filter(line, lambda p: (p["x"] != first["x"]) | (p["y"] != first["y"])), 0)
-    before = F.get(F.reverse(F.filter(line, lambda p: (p["x"] != last["x"]) | (p["y"] != last["y"]))), 0)
+    def ends(line: Column) -> Column:
+        first, last = F.element_at(line, 1), F.element_at(line, -1)
+        second = F.get(F.filter(line, lambda p: (p["x"] != first["x"]) | (p["y"] != first["y"])), 0)
+        before = F.element_at(F.filter(line, lambda p: (p["x"] != last["x"]) | (p["y"] != last["y"])), -1)
+        return F.struct(first.alias("first"), second.alias("second"), before.alias("before"), last.alias("last"))
 
     def beyond(end: Column, inner: Column) -> Column:
-        return _between(end, inner, -F.lit(by) / norm(inner["x"] - end["x"], inner["y"] - end["y"]))
+        return let(-F.lit(by) / norm(inner["x"] - end["x"], inner["y"] - end["y"]), lambda u: _between(end, inner, u))
+
+    def longer(line: Column, e: Column) -> Column:
+        stub = F.array(*(F.struct(e["first"]["x"].alias("x"), (e["first"]["y"] + d).alias("y")) for d in (-1.0, 1.0)))
+        return F.when(e["second"].isNull(), stub).otherwise(F.concat(F.array(beyond(e["first"], e["second"])), line, F.array(beyond(e["last"], e["before"]))))
 
-    stub = F.array(*(F.struct(first["x"].alias("x"), (first["y"] + d).alias("y")) for d in (-1.0, 1.0)))
-    long = F.concat(F.array(beyond(first, second)), line, F.array(beyond(last, before)))
-    return F.when(F.size(line) < 1, None).when(second.isNull(), stub).otherwise(long)
+    return let(F.when(F.size(line) > 0, line), lambda l: F.when(l.isNotNull(), let(ends(l), lambda e: longer(l, e))))
 
 
 def lengths(line: Column) -> Column:

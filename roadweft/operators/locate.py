@@ -24,8 +24,8 @@ EXTENT = 200.0
 
 def along(x: Column, y: Column, long: Column) -> Column:
     """struct(d, s, t) on a line that was extended by EXTENT; s is negative before the start of the line as it was."""
-    found = F.transform(F.array(long), lambda line: geometry.project_on_line(x, y, line))
-    return F.transform(found, lambda p: F.struct(p["d"].alias("d"), (p["s"] - EXTENT).alias("s"), p["t"].alias("t")))[0]
+    found = geometry.let(long, lambda line: geometry.project_on_line(x, y, line))
+    return geometry.let(found, lambda p: F.struct(p["d"].alias("d"), (p["s"] - EXTENT).alias("s"), p["t"].alias("t")))
 
 
 KEY = ["idx", "total_nanos", "x", "y"]

@@ -167,35 +167,19 @@ def interpolate_hz(spark, sf_dir):
     return _shown(resample.interpolate_hz(tracks_from_events(spark, sf_dir), 1 / 10800))
 
 
-@query(_interpolated("grid AS (SELECT DISTINCT total_nanos + 1000000007 AS t FROM tracks WHERE event_id % 50 = 0)"))
-def interpolate_list(spark, sf_dir):
-    tracks = tracks_from_events(spark, sf_dir)
-    return _shown(resample.interpolate_times(tracks, tracks.where("event_id % 50 = 0").select((F.col("total_nanos") + 1_000_000_007).alias("t"))))
-
-
 @query(_interpolated("grid AS (SELECT DISTINCT total_nanos + 1000000007 AS t FROM tracks)"))
-def interpolate_list_all(spark, sf_dir):
-    """As interpolate_list, but onto the times of all events."""
+def interpolate_list(spark, sf_dir):
+    """Onto the times of all events, a moment later."""
     tracks = tracks_from_events(spark, sf_dir)
     return _shown(resample.interpolate_times(tracks, tracks.select((F.col("total_nanos") + 1_000_000_007).alias("t"))))
 
 
-_DEFAULT = "every40 AS (SELECT * FROM framed WHERE frame % 40 = 0), ends AS (SELECT min(total_nanos) AS a, max(total_nanos) AS b, (max(frame) // 40)::BIGINT AS n FROM every40), grid AS (SELECT CASE WHEN i = n - 1 THEN b ELSE floor(a + i * ((b - a) / (n - 1)::DOUBLE))::BIGINT END AS t FROM ends, range(1000000) r(i) WHERE i < n)"
+_DEFAULT = "ends AS (SELECT min(total_nanos) AS a, max(total_nanos) AS b, max(frame)::BIGINT AS n FROM framed), grid AS (SELECT CASE WHEN i = n - 1 THEN b ELSE floor(a + i * ((b - a) / (n - 1)::DOUBLE))::BIGINT END AS t FROM ends, range(1000000) r(i) WHERE i < n)"
 
 
 @query(_interpolated(_DEFAULT))
 def interpolate_default(spark, sf_dir):
-    tracks = tracks_from_events(spark, sf_dir)
-    frames = T.frame_dim(tracks).where("frame % 40 = 0").withColumn("frame", F.floor(F.col("frame") / 40))
-    return _shown(resample.interpolate_times(tracks, resample.default_times(tracks, frames)))
-
-
-_DEFAULT_ALL = "ends AS (SELECT min(total_nanos) AS a, max(total_nanos) AS b, max(frame)::BIGINT AS n FROM framed), grid AS (SELECT CASE WHEN i = n - 1 THEN b ELSE floor(a + i * ((b - a) / (n - 1)::DOUBLE))::BIGINT END AS t FROM ends, range(1000000) r(i) WHERE i < n)"
-
-
-@query(_interpolated(_DEFAULT_ALL))
-def interpolate_default_all(spark, sf_dir):
-    """As interpolate_default, but with the operator's whole default grid."""
+    """Onto the operator's default grid."""
     tracks = tracks_from_events(spark, sf_dir)
     return _shown(resample.interpolate_times(tracks, resample.default_times(tracks, T.frame_dim(tracks))))
 
@@ -362,15 +346,8 @@ def time_on_segment(spark, sf_dir):
     return locate.time_on_segment(tracks_from_events(spark, sf_dir), areas)
 
 
-@query(f"{W_}, {LANES_SQL} SELECT event_id AS light_id, lane_id, round(abs(y - ly), 6) AS distance FROM tracks, lanes WHERE event_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(y - ly), lane_id) = 1")
-def light_nearest(spark, sf_dir):
-    lights = tracks_from_events(spark, sf_dir).where("event_id % 20 = 0").select(F.col("event_id").alias("light_id"), "x", "y")
-    return rounded(maps.nearest_lane(lights, lanes(spark)), "distance")
-
-
 @query(f"{W_}, {LANES_SQL} SELECT event_id AS light_id, lane_id, round(abs(y - ly), 6) AS distance FROM tracks, lanes QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(y - ly), lane_id) = 1")
-def light_nearest_all(spark, sf_dir):
-    """As light_nearest, but for every row of events."""
+def light_nearest(spark, sf_dir):
     lights = tracks_from_events(spark, sf_dir).select(F.col("event_id").alias("light_id"), "x", "y")
     return rounded(maps.nearest_lane(lights, lanes(spark)), "distance")
 
@@ -388,14 +365,8 @@ def highd_swap(spark, sf_dir):
     return convert.highd(raw).select("event_id", "heading", "length", "width")
 
 
-@query(f"{W_} SELECT event_id, idx FROM tracks WHERE idx < 5 UNION ALL SELECT event_id, idx FROM tracks WHERE idx BETWEEN 3 AND 9")
-def union_tracks(spark, sf_dir):
-    tracks = tracks_from_events(spark, sf_dir).select("event_id", "idx")
-    return tracks.where("idx < 5").unionByName(tracks.where("idx between 3 and 9"))
-
-
 @query(f"{W_} SELECT event_id, idx FROM tracks UNION ALL SELECT event_id, idx FROM tracks")
-def union_tracks_all(spark, sf_dir):
+def union_tracks(spark, sf_dir):
     """Two whole tables, one after the other."""
     tracks = tracks_from_events(spark, sf_dir).select("event_id", "idx")
     return tracks.unionByName(tracks)

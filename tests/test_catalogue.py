@@ -39,7 +39,7 @@ def test_every_query_gives_rows(spark):
 
 def test_every_event_is_a_light(spark):
     events = {r["event_id"] for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_id").collect()}
-    assert {r["light_id"] for r in catalogue.QUERIES["light_nearest_all"](spark, DATA).collect()} == events
+    assert {r["light_id"] for r in catalogue.QUERIES["light_nearest"](spark, DATA).collect()} == events
 
 
 def test_whole_grids_and_tables(spark):
@@ -47,9 +47,9 @@ def test_whole_grids_and_tables(spark):
     times = sorted({r["us"] * 1000 for r in events})
     shown = lambda name: {r["total_nanos"] for r in catalogue.QUERIES[name](spark, DATA).select("total_nanos").distinct().collect()}
     # the time after the last event lies behind every object
-    assert shown("interpolate_list_all") == {t + 1_000_000_007 for t in times[:-1]}
+    assert shown("interpolate_list") == {t + 1_000_000_007 for t in times[:-1]}
     tracks = tracks_from_events(spark, DATA)
     grid = {r["t"] for r in resample.default_times(tracks, T.frame_dim(tracks)).collect()}
     # the first point is a double and may lie before the first row
-    assert len(grid) == len(times) - 1 and shown("interpolate_default_all") == {t for t in grid if times[0] <= t <= times[-1]}
-    assert sorted(tuple(r) for r in catalogue.QUERIES["union_tracks_all"](spark, DATA).collect()) == sorted(2 * [(r["event_id"], r["user_id"]) for r in events])
+    assert len(grid) == len(times) - 1 and shown("interpolate_default") == {t for t in grid if times[0] <= t <= times[-1]}
+    assert sorted(tuple(r) for r in catalogue.QUERIES["union_tracks"](spark, DATA).collect()) == sorted(2 * [(r["event_id"], r["user_id"]) for r in events])
