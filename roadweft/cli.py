@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import SparkSession
 
+from roadweft.sources.lxd import convert_lxd
 from roadweft.sources.recordings import read_recording
 
 
@@ -37,10 +38,16 @@ def attach_odr(spark: SparkSession, a) -> None:
     read_recording(spark, a.input, map_path=a.odr).write(a.output or f"{stem}_with_odr{suffix}")
 
 
+def from_lxd(spark: SparkSession, a) -> None:
+    for r in convert_lxd(spark, a.input, a.output, a.skip_existing).collect():
+        print(r["status"], r["file_path_input"], r["file_path_output"], r["error_message"])
+
+
 #: (function, help, arguments); a trailing ? marks optional ones.
 COMMANDS = {
     "from-osi": (from_osi, "a trace (.osi, .mcap) as a recording", ("input", "output", "--map-path", "--validate")),
     "from-csv": (from_csv, "a table (.csv) as a recording", ("input", "output", "--odr", "--validate")),
+    "from-lxd": (from_lxd, "a folder of drone recordings as Parquet tables", ("input", "output", "--skip-existing")),
     "validate": (validate, "check a recording and its map", ("input",)),
     "to-odr": (to_odr, "take out the OpenDRIVE map", ("input", "output?")),
     "to-parquet": (to_parquet, "a recording as Parquet", ("input", "output?")),
@@ -55,8 +62,8 @@ def parser() -> argparse.ArgumentParser:
         p = commands.add_parser(name, help=text)
         p.set_defaults(run=run)
         for a in arguments:
-            if a == "--validate":
-                p.add_argument(a, action=argparse.BooleanOptionalAction, default=True)
+            if a in ("--validate", "--skip-existing"):
+                p.add_argument(a, action=argparse.BooleanOptionalAction, default=a == "--validate")
             elif a.startswith("--"):
                 p.add_argument(a)
             else:

@@ -8,10 +8,12 @@ from collections.abc import Iterable
 from importlib.metadata import entry_points
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweft.functions.geometry import wrap
+from roadweft.plans.staging import stage
 from roadweft.schema import PEDESTRIAN, UNSET, VEHICLE
 
 # Vehicle classes of the source datasets and their subtype codes, the civil role, and sizes.
@@ -53,8 +55,16 @@ def from_tracks(tracks: DataFrame, meta: DataFrame, rate: float) -> DataFrame:
     }).drop("class", "heading", "drivingDirection")
 
 
+STATUS = ("file_path_input", "file_path_output", "status", "error_message")
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URL, and the path in it."""
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
+
+
 class DatasetConverter(ABC):
-    """Converts source files in Spark tasks; each file has its own outcome."""
+    """Converts source files in Spark tasks; each recording has its own outcome."""
 
     @abstractmethod
     def sources(self) -> Iterable[str]:
@@ -64,30 +74,47 @@ class DatasetConverter(ABC):
     def recordings(self, path: str) -> Iterable[tuple[str, pd.DataFrame]]:
         """(name, trajectories) of one source file."""
 
-    def convert(self, spark: SparkSession, out_dir: str, skip_existing: bool = False, workers: int = -1) -> DataFrame:
-        """(file_path_input, file_path_output, status, error_message) for every file; status is success, error or skip."""
+    def convert_source(self, path: str, out_dir: str, skip_existing: bool = False) -> list[tuple[str, str, str, str]]:
+        """A row of STATUS for each recording of one source; a source that can't be read to its end gives one error more."""
+        files, folder = file_system(out_dir)
+        files.create_dir(folder)
+        rows = []
+        try:
+            for name, df in self.recordings(path):
+                out = f"{folder}/{name}.parquet"
+                try:
+                    if skip_existing and files.get_file_info(out).type != fs.FileType.NotFound:
+                        rows.append((path, out, "skip", ""))
+                        continue
+                    with files.open_output_stream(out) as sink:
+                        df.to_parquet(sink)
+                    rows.append((path, out, "success", ""))
+                except Exception as error:  # the outcome is reported in the row
+                    rows.append((path, out, "error", f"{type(error).__name__}: {error}"))
+        except Exception as error:  # as above
+            rows.append((path, "", "error", f"{type(error).__name__}: {error}"))
+        return rows
+
+    def convert(self, spark: SparkSession, out_dir: str, skip_existing: bool = False, workers: int = -1, log_file: str | None = None) -> DataFrame:
+        """STATUS for every recording: success, error or skip; written to log_file as CSV as well, if one is named.
+
+        out_dir is a folder that all executors share. The conversion runs once, not each time the result is read.
+        """
         paths = list(self.sources())
         n = spark.sparkContext.defaultParallelism if workers < 1 else workers
 
         def run(batches):
             for pdf in batches:
-                rows = []
-                for path in pdf["path"]:
-                    out, status, message = "", "success", ""
-                    try:
-                        for name, df in self.recordings(path):
-                            out = os.path.join(out_dir, f"{name}.parquet")
-                            if skip_existing and os.path.exists(out):
-                                status = "skip"
-                            else:
-                                df.to_parquet(out)
-                    except Exception as error:  # the outcome is reported in the row
-                        status, message = "error", f"{type(error).__name__}: {error}"
-                    rows.append((path, out, status, message))
-                yield pd.DataFrame(rows, columns=["file_path_input", "file_path_output", "status", "error_message"])
+                yield pd.DataFrame([r for path in pdf["path"] for r in self.convert_source(path, out_dir, skip_existing)], columns=STATUS)
 
         files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(n, len(paths) or 1)))
-        return files.mapInPandas(run, "file_path_input string, file_path_output string, status string, error_message string")
+        done = stage(files.mapInPandas(run, ", ".join(f"{c} string" for c in STATUS)), "conversion")
+        if log_file:
+            # a row a recording
+            system, place = file_system(log_file)
+            with system.open_output_stream(place) as sink:
+                sink.write(done.orderBy(*STATUS[:2]).toPandas()[["file_path_input", "status", "file_path_output", "error_message"]].to_csv(index=False).encode())
+        return done
 
 
 def plug_ins(group: str = "roadweft.converters") -> dict[str, type[DatasetConverter]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,3 +55,39 @@ def ring_distance(a: Column, b: Column) -> Column:
 
 def point_ring_distance(x: Column, y: Column, ring: Column) -> Column:
     return F.when(geometry.point_in_ring(x, y, ring), 0.0).otherwise(geometry.project_on_line(x, y, ring)["d"])
+
+
+def simplified(points: np.ndarray, tolerance: float) -> np.ndarray:
+    """The points (n, 2) that Douglas and Peucker's way keeps: those farther than tolerance from the chord of their stretch, and both ends."""
+    keep = np.zeros(len(points), bool)
+    keep[[0, -1]] = True
+    stack = [(0, len(points) - 1)]
+    while stack:
+        a, b = stack.pop()
+        if b - a < 2:
+            continue
+        step, rest = points[b] - points[a], points[a + 1 : b] - points[a]
+        square = float(step @ step)
+        u = np.clip(rest @ step / square, 0, 1) if square else np.zeros(len(rest))
+        far = np.hypot(*(rest - u[:, None] * step).T)
+        i = int(far.argmax())
+        if far[i] > tolerance:
+            keep[a + 1 + i] = True
+            stack += [(a, a + 1 + i), (a + 1 + i, b)]
+    return points[keep]
+
+
+def simplify(line: Column, tolerance: float = 0.1) -> Column:
+    """A line of points with fewer of them; lines of two points and fewer, and null, stay as they are."""
+
+    @F.pandas_udf("array<struct<x:double,y:double>>")
+    def run(lines: pd.Series) -> pd.Series:
+        def one(line):
+            if line is None or len(line) < 3:
+                return line
+            found = simplified(np.array([(p["x"], p["y"]) for p in line], float), tolerance)
+            return [{"x": x, "y": y} for x, y in found.tolist()]
+
+        return lines.map(one)
+
+    return run(line)

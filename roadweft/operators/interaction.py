@@ -23,6 +23,7 @@ class Metric:
 
     compute: Callable[..., Result]
     computes_columns: tuple[str, ...] = ()
+    computes_intermediate_columns: tuple[str, ...] = ()
     requires_columns: tuple[str, ...] = ()
     computes_properties: tuple[str, ...] = ()
     computes_intermediate_properties: tuple[str, ...] = ()
@@ -43,7 +44,7 @@ class Metric:
 
     @property
     def makes(self) -> tuple[str, ...]:
-        return (*self.computes_columns, *self.computes_properties, *self.computes_intermediate_properties)
+        return (*self.computes_columns, *self.computes_intermediate_columns, *self.computes_properties, *self.computes_intermediate_properties)
 
     def __call__(self, df: DataFrame, **kw) -> Result:
         try:
@@ -51,7 +52,7 @@ class Metric:
         except TypeError as error:
             raise TypeError(f"Missing parameter for metric {self.name}: {error}") from error
         df, properties = self.compute(df, **kw)
-        lacking = [p for p in (*self.computes_properties, *self.computes_intermediate_properties) if p not in properties] + [c for c in self.computes_columns if c not in df.columns]
+        lacking = [p for p in (*self.computes_properties, *self.computes_intermediate_properties) if p not in properties] + [c for c in (*self.computes_columns, *self.computes_intermediate_columns) if c not in df.columns]
         if lacking:
             raise AssertionError(f"metric {self.name} did not make {lacking}")
         return df, properties
@@ -116,7 +117,7 @@ DEFAULT = (distance_traveled, vel, observed_timegaps, predicted_timegaps)
 class MetricManager:
     """Orders metrics, passes parameters and properties on, and drops what is excluded.
 
-    Intermediate properties are left out of the result. Later metrics replace earlier makers of a name. A need
+    Intermediate properties and columns are left out of the result. Later metrics replace earlier makers of a name. A need
     that nobody meets raises RuntimeError; a cycle raises graphlib.CycleError.
     """
 
@@ -142,4 +143,5 @@ class MetricManager:
             df, made = m(df, **known)
             properties |= made
         hidden = {*self.exclude_properties, *(p for m in self.metrics for p in m.computes_intermediate_properties)}
-        return df.drop(*self.exclude_columns), {k: v for k, v in properties.items() if k not in hidden}
+        between = [c for m in self.metrics for c in m.computes_intermediate_columns]
+        return df.drop(*self.exclude_columns, *between), {k: v for k, v in properties.items() if k not in hidden}

@@ -63,18 +63,62 @@ def ends(line: Column) -> tuple[Column, Column]:
 
 
 def split_lanes(lanes: DataFrame, most: float) -> DataFrame:
-    """(lane_id, part, parts, x0, y0, x1, y1): lanes cut into straight chords no longer than most."""
-    a, b = ends(F.col("centerline"))
-    size = geometry.norm(b["x"] - a["x"], b["y"] - a["y"])
-    parts = F.greatest(F.ceil(size / most), F.lit(1))
-    out = lanes.select("lane_id", a.alias("a"), b.alias("b"), parts.alias("parts")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    at = lambda c, i: F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * (i / F.col("parts"))
-    i = F.col("part")
-    return out.select("lane_id", "part", "parts", at("x", i).alias("x0"), at("y", i).alias("y0"), at("x", i + 1).alias("x1"), at("y", i + 1).alias("y1"))
+    """(lane_id, part, parts, centerline): lanes longer than most cut into parts of equal length along the line.
+
+    A part is the chord between its ends; a lane that is short enough stays as it is.
+    """
+    line = F.col("centerline")
+    sized = lanes.select("lane_id", line, geometry.line_length(line).alias("size"))
+    sized = sized.withColumn("parts", F.greatest(F.ceil(F.col("size") / most), F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    at = lambda i: geometry.point_at(line, F.col("size") * i / F.col("parts"))
+    chord = F.array(at(F.col("part")), at(F.col("part") + 1))
+    return sized.select("lane_id", "part", "parts", F.when(F.col("parts") > 1, chord).otherwise(line).alias("centerline"))
+
+
+def split_edges(parts: DataFrame, edges: DataFrame, most: float) -> DataFrame:
+    """(src, src_part, dst, dst_part, label): the relations of split lanes, parts as split_lanes gives them.
+
+    Parts of a lane follow each other. A lane's last part leads to the first of its successors, its first part
+    comes from the last of its predecessors; links between lines farther apart than most go, either way round.
+    """
+    last = F.col("part") == F.col("parts") - 1
+    following = parts.where(~last).select(F.col("lane_id").alias("src"), F.col("part").alias("src_part"), F.col("lane_id").alias("dst"), (F.col("part") + 1).alias("dst_part"), F.lit("successor").alias("label"))
+    before = following.select(F.col("dst").alias("src"), F.col("dst_part").alias("src_part"), F.col("src").alias("dst"), F.col("src_part").alias("dst_part"), F.lit("predecessor").alias("label"))
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.col("lane_id").alias(name), F.col("part").alias(f"{name}_part"), F.col("centerline").alias(f"{name}_line"))
+
+    def linked(label: str) -> DataFrame:
+        ends, starts = (last, F.col("part") == 0) if label == "successor" else (F.col("part") == 0, last)
+        met = edges.where(F.col("label") == label).select("src", "dst").distinct().join(side(parts.where(ends), "src"), "src").join(side(parts.where(starts), "dst"), "dst")
+        near = met.where(line_distance(F.col("src_line"), F.col("dst_line")) <= most)
+        return near.select("src", "src_part", "dst", "dst_part", F.lit(label).alias("label"))
+
+    return following.union(before).union(linked("successor")).union(linked("predecessor"))
+
+
+def oriented_borders(lanes: DataFrame) -> DataFrame:
+    """lanes with left_line and right_line in the direction of the centre line: a border that has the lane's start in its second half is turned round."""
+    def turned(line: Column) -> Column:
+        start = F.element_at("centerline", 1)
+        share = geometry.let(geometry.project_on_line(start["x"], start["y"], line), lambda p: p["s"]) / geometry.line_length(line)
+        return F.when(share > 0.5, F.reverse(line)).otherwise(line)
+
+    return lanes.withColumns({c: turned(F.col(c)) for c in ("left_line", "right_line")})
+
+
+def border_points(lanes: DataFrame) -> DataFrame:
+    """lanes with start_points and end_points: first and last points of the oriented borders, left and then right."""
+    lines = [F.col("left_line"), F.col("right_line")]
+    return oriented_borders(lanes).withColumns({name: F.array(*(F.element_at(c, i) for c in lines)) for name, i in (("start_points", 1), ("end_points", -1))})
 
 
 def road_segments(lanes: DataFrame) -> DataFrame:
-    """(segment_idx, kind, source, lane_ids): lanes of a junction together, others by road; junctions are numbered first."""
+    """(segment_idx, kind, source, lane_ids): lanes of a junction together, others by road; junctions are numbered first.
+
+    Lanes without a road and a junction lie on no segment: check_assigned finds them.
+    """
+    lanes = lanes.where("road_id is not null or junction_id is not null and junction_id <> '-1'")
     junction = F.col("junction_id").isNotNull() & (F.col("junction_id") != "-1")
     keyed = lanes.withColumn("kind", F.when(junction, "junction").otherwise("no_junction")).withColumn("source", F.when(junction, F.col("junction_id")).otherwise(F.col("road_id")))
     grouped = keyed.groupBy("kind", "source").agg(F.sort_array(F.collect_list("lane_id")).alias("lane_ids"))
@@ -82,6 +126,48 @@ def road_segments(lanes: DataFrame) -> DataFrame:
     return grouped.withColumn("segment_idx", F.row_number().over(W.orderBy("kind", "source")) - 1)
 
 
+def lane_segments(segments: DataFrame) -> DataFrame:
+    """(lane_id, segment_idx) of segments (segment_idx, lane_ids)."""
+    return segments.select(F.explode("lane_ids").alias("lane_id"), "segment_idx")
+
+
+def unassigned(lanes: DataFrame, lane_segment: DataFrame) -> DataFrame:
+    """(lane_id) of lanes on no segment."""
+    return lanes.select("lane_id").join(lane_segment.where("segment_idx is not null"), "lane_id", "left_anti")
+
+
+def check_assigned(lanes: DataFrame, lane_segment: DataFrame, shown: int = 20) -> None:
+    """RuntimeError that names some lanes on no segment, if there are any."""
+    found = unassigned(lanes, lane_segment).orderBy("lane_id").limit(shown).collect()
+    if found:
+        raise RuntimeError("not all lanes are assigned to segments: " + ", ".join(str(r["lane_id"]) for r in found))
+
+
+def segment_by_road(lanes: DataFrame, lane_segment: DataFrame) -> DataFrame:
+    """(road_id, segment_idx): the segment that owns a road, by the road's id as text; the last segment where several do."""
+    joined = lanes.select("lane_id", F.col("road_id").cast("string").alias("road_id")).join(lane_segment, "lane_id")
+    return joined.groupBy("road_id").agg(F.max("segment_idx").alias("segment_idx"))
+
+
+def with_segment_roads(lanes: DataFrame, lane_segment: DataFrame) -> DataFrame:
+    """lanes with their segment as road in their own ids and in those of successors and predecessors.
+
+    Ids are structs with road_id; lanes on no segment keep theirs, and so do references to them.
+    """
+    kind = lanes.schema["lane_id"].dataType["road_id"].dataType
+    renamed = lane_segment.where("segment_idx is not null").select(F.col("lane_id").alias("old"), F.col("segment_idx").cast(kind).alias("road"))
+    new = lambda c: F.when(F.col("road").isNull(), c).otherwise(c.withField("road_id", F.col("road")))
+    out = lanes.join(renamed, F.col("lane_id") == F.col("old"), "left").withColumn("was", F.col("lane_id")).withColumn("lane_id", new(F.col("lane_id"))).drop("old", "road")
+    for c in ("successor_ids", "predecessor_ids"):
+        refs = lanes.select(F.col("lane_id").alias("was"), F.posexplode(c).alias("i", "ref")).join(renamed, F.col("ref") == F.col("old"), "left")
+        lists = refs.groupBy("was").agg(F.sort_array(F.collect_list(F.struct("i", new(F.col("ref")).alias("ref")))).alias("refs")).select("was", F.col("refs.ref").alias("refs"))
+        empty = F.array().cast(lanes.schema[c].dataType)
+        out = out.join(lists, "was", "left").withColumn(c, F.coalesce("refs", empty)).drop("refs")
+    if "road_id" in lanes.columns:
+        out = out.withColumn("road_id", F.col("lane_id.road_id"))
+    return out.select(*lanes.columns)
+
+
 def bounds(lanes: DataFrame) -> DataFrame:
     xs, ys = F.col("centerline.x"), F.col("centerline.y")
     return lanes.withColumns({"x_min": F.array_min(xs), "x_max": F.array_max(xs), "y_min": F.array_min(ys), "y_max": F.array_max(ys)})
@@ -162,9 +248,15 @@ def first_states(lights: DataFrame) -> DataFrame:
     return lights.groupBy("light_id").agg(F.min_by(F.struct("total_nanos", *rest), "total_nanos").alias("s")).select("light_id", "s.*")
 
 
+def finite_line(line: Column) -> Column:
+    """Whether a line has two points at least, all of them finite."""
+    ok = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return (F.size(line) >= 2) & F.forall(line, lambda p: ok(p["x"]) & ok(p["y"]))
+
+
 def centerline_export(lanes: DataFrame) -> DataFrame:
-    """Lanes renumbered from 0 with every pair of a predecessor and a successor; nulls where there is none."""
-    ok = lanes.where(F.size("centerline") >= 2)
+    """Lanes with a finite line, renumbered from 0, with every pair of a predecessor and a successor; nulls where there is none."""
+    ok = lanes.where(finite_line(F.col("centerline")))
     numbered = ok.withColumn("out_id", F.row_number().over(W.orderBy("lane_id")) - 1)
     pairs = numbered.select("out_id", F.explode_outer("predecessor_ids").alias("before"), "successor_ids").select("out_id", "before", F.explode_outer("successor_ids").alias("after"))
     ids = numbered.select("lane_id", F.col("out_id").alias("n"))

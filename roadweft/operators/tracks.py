@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from roadweft.functions import geometry
-from roadweft.schema import TYPE_NAMES
+from roadweft.schema import ROLE_NAMES, SUBTYPE_NAMES, TYPE_NAMES
 
 
 def frame_dim(tracks: DataFrame) -> DataFrame:
@@ -53,8 +53,22 @@ def object_summary(tracks: DataFrame) -> DataFrame:
     )
 
 
+def _name(code: Column, names: tuple[str, ...]) -> Column:
+    return F.get(F.array(*map(F.lit, names)), F.when(code >= 0, code.cast("int")))
+
+
 def type_name(code: Column) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for i, n in enumerate(TYPE_NAMES) for x in (i, n))), code.cast("int"))
+    return _name(code, TYPE_NAMES)
+
+
+def role_name(code: Column) -> Column:
+    """Null for no vehicle (-1)."""
+    return _name(code, ROLE_NAMES)
+
+
+def subtype_name(code: Column) -> Column:
+    """Null for no vehicle (-1)."""
+    return _name(code, SUBTYPE_NAMES)
 
 
 def steps(tracks: DataFrame) -> DataFrame:
@@ -109,5 +123,5 @@ def view_box(tracks: DataFrame) -> DataFrame:
 def frame_shapes(tracks: DataFrame, start: int = 0, end: int = -1) -> DataFrame:
     """What a chart of frames draws: box corners, heading in degrees, the length of the heading's wedge and a label of the codes."""
     shown = with_ring(frame_range(tracks if "frame" in tracks.columns else with_frames(tracks), start, end))
-    label = F.concat_ws("-", type_name(F.col("type")), F.when(F.col("subtype") != -1, F.col("subtype")).cast("string"))
+    label = F.concat_ws("-", type_name(F.col("type")), subtype_name(F.col("subtype")))
     return shown.select("frame", "idx", "x", "y", "ring", F.degrees("yaw").alias("heading"), (F.col("length") / 4).alias("wedge"), label.alias("label"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from roadweft.functions import geometry
 from roadweft.operators import convert, graph, interaction, joins, locate, maps, resample, validate
 from roadweft.operators import tracks as T
+from roadweft.schema import ROLE_NAMES, SUBTYPE_NAMES, TYPE_NAMES
 from roadweft.sources.events import SQL, tracks_from_events
 
 EGO, BUFFER = 8, 21_600_000_000_000
@@ -276,7 +277,67 @@ def align_topology(spark, sf_dir):
 
 @query(f"WITH {LANES_SQL} SELECT lane_id, i AS part, 4 AS parts, i * 25.0e0 AS x0, (i + 1) * 25.0e0 AS x1, ly AS y0, ly AS y1 FROM lanes, range(4) r(i)")
 def split_lanes(spark, sf_dir):
-    return maps.split_lanes(lanes(spark), 30.0).select("lane_id", "part", "parts", "x0", "x1", "y0", "y1")
+    a, b = maps.ends(F.col("centerline"))
+    return maps.split_lanes(lanes(spark), 30.0).select("lane_id", "part", "parts", *(p[c].alias(f"{c}{i}") for i, p in enumerate((a, b)) for c in "xy"))
+
+
+_BENT = "bent AS (SELECT range AS lane_id, range * 3.0e0 + CASE WHEN range < 5 THEN 0 ELSE 1000 END AS y, 50.0e0 + 5 * range AS size, ceil((50.0e0 + 5 * range) / 52.0e0)::BIGINT AS parts FROM range(10))"
+
+
+def bent_lanes(spark) -> DataFrame:
+    """Lane i leads 40 m east and then 10 + 5 i m north; lanes from 5 on lie a kilometre away."""
+    i = F.col("id")
+    y = i * 3.0 + F.when(i < 5, 0.0).otherwise(1000.0)
+    point = lambda x, dy: F.struct(F.lit(x).alias("x"), (y + dy).alias("y"))
+    return spark.range(LANES).select(i.alias("lane_id"), F.array(point(0.0, F.lit(0.0)), point(40.0, F.lit(0.0)), point(40.0, 10.0 + 5.0 * i)).alias("centerline"))
+
+
+@query(f"""WITH {_BENT}, p AS (SELECT *, k AS part, size * k / parts AS s0, size * (k + 1) / parts AS s1 FROM bent, range(4) r(k) WHERE k < parts)
+SELECT lane_id, part, parts, CASE WHEN parts = 1 THEN 3 ELSE 2 END AS points, round(least(s0, 40.0e0), 6) AS x0, round(y + greatest(s0 - 40, 0), 6) AS y0, round(least(s1, 40.0e0), 6) AS x1, round(y + greatest(s1 - 40, 0), 6) AS y1 FROM p""")
+def split_bent_lanes(spark, sf_dir):
+    """Parts are cut along the line, not its chord; the first lane is short enough and keeps its bend."""
+    a, b = maps.ends(F.col("centerline"))
+    cut = maps.split_lanes(bent_lanes(spark), 52.0).select("lane_id", "part", "parts", F.size("centerline").alias("points"), *(p[c].alias(f"{c}{i}") for i, p in enumerate((a, b)) for c in "xy"))
+    return rounded(cut, "x0", "y0", "x1", "y1")
+
+
+@query(f"""WITH {LANES_SQL}, {_BENT}, n AS (SELECT lane_id, parts FROM bent)
+SELECT lane_id AS src, k AS src_part, lane_id AS dst, k + 1 AS dst_part, 'successor' AS label FROM n, range(4) r(k) WHERE k + 1 < parts
+UNION ALL SELECT lane_id, k + 1, lane_id, k, 'predecessor' FROM n, range(4) r(k) WHERE k + 1 < parts
+UNION ALL SELECT src, a.parts - 1, dst, 0, label FROM given JOIN n a ON a.lane_id = src WHERE label = 'successor' AND src <> 4
+UNION ALL SELECT src, 0, dst, b.parts - 1, label FROM given JOIN n b ON b.lane_id = dst WHERE label = 'predecessor' AND src <> 5""")
+def split_topology(spark, sf_dir):
+    """Parts follow each other, and the links between lanes a kilometre apart are gone."""
+    parts = maps.split_lanes(bent_lanes(spark), 52.0)
+    return maps.split_edges(parts, maps.relation_edges(lanes(spark)), 52.0)
+
+
+@query(f"""WITH {LANES_SQL}, k AS (SELECT lane_id, road_id, CASE WHEN junction_id <> '-1' THEN 0 ELSE 1 END AS kind, CASE WHEN junction_id <> '-1' THEN junction_id ELSE road_id END AS source FROM lanes),
+g AS (SELECT *, dense_rank() OVER (ORDER BY kind, source) - 1 AS segment_idx FROM k) SELECT road_id, max(segment_idx) AS segment_idx FROM g GROUP BY road_id""")
+def segment_by_road(spark, sf_dir):
+    grid = lanes(spark)
+    return maps.segment_by_road(grid, maps.lane_segments(maps.road_segments(grid)))
+
+
+def _names_sql(column: str, names) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
+
+
+@query(f"{W_} SELECT event_id, {_names_sql('type', TYPE_NAMES)} AS type_name, {_names_sql('role', ROLE_NAMES)} AS role_name, {_names_sql('subtype', SUBTYPE_NAMES)} AS subtype_name FROM tracks")
+def code_names(spark, sf_dir):
+    return tracks_from_events(spark, sf_dir).select("event_id", T.type_name(F.col("type")).alias("type_name"), T.role_name(F.col("role")).alias("role_name"), T.subtype_name(F.col("subtype")).alias("subtype_name"))
+
+
+_SHIFT = "shifted AS (SELECT * REPLACE (CASE WHEN event_id % 5 = 0 THEN 3 ELSE type END AS type, CASE WHEN event_id % 3 = 0 THEN -1 ELSE subtype END AS subtype) FROM tracks)"
+
+
+@query(f"""{W_}, {_SHIFT}, t AS (SELECT idx, type, row_number() OVER (PARTITION BY idx ORDER BY count(*) DESC, type) AS n FROM shifted GROUP BY idx, type), u AS (SELECT idx, subtype, row_number() OVER (PARTITION BY idx ORDER BY count(*) DESC, subtype) AS n FROM shifted GROUP BY idx, subtype)
+SELECT idx, t.type, u.subtype FROM t JOIN u USING (idx) WHERE t.n = 1 AND u.n = 1""")
+def object_modes(spark, sf_dir):
+    """Codes that change within an object: the one that occurs most, the smallest of equals."""
+    e = F.col("event_id")
+    shifted = tracks_from_events(spark, sf_dir).withColumns({"type": F.when(e % 5 == 0, F.lit(3)).otherwise(F.col("type")).cast("long"), "subtype": F.when(e % 3 == 0, F.lit(-1)).otherwise(F.col("subtype")).cast("long")})
+    return T.object_summary(shifted).select("idx", "type", "subtype")
 
 
 @query(f"""WITH {LANES_SQL}, k AS (SELECT lane_id, CASE WHEN junction_id <> '-1' THEN 'junction' ELSE 'no_junction' END AS kind, CASE WHEN junction_id <> '-1' THEN junction_id ELSE road_id END AS source FROM lanes),

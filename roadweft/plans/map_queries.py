@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from roadweft.functions import crs, geometry
 from roadweft.operators import locate
+from roadweft.operators import maps as lane_maps
 from roadweft.operators import tracks as T
 from roadweft.plans import segmentation
 from roadweft.plans.staging import fresh_path
+from roadweft.schema import SUBTYPE_NAMES
 from roadweft.sources import opendrive, traces
 from roadweft.sources.events import SQL, tracks_from_events
 
@@ -153,8 +155,23 @@ def middle_lines(spark, sf_dir):
     return lines.select("k", "i", F.round(x, 6).alias("x"), F.round(F.col("p.y") + 0.0, 6).alias("y"))
 
 
+_SUBTYPES = "CASE subtype " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(SUBTYPE_NAMES)) + " END"
+
+
+@query("""SELECT n_nationkey AS k, n_nationkey::DOUBLE AS x_left, 2.0e0 AS y_left, n_nationkey::DOUBLE AS x_right, -2.0e0 AS y_right, n_nationkey + 10.0e0 AS x_end FROM nation""")
+def border_orientation(spark, sf_dir):
+    """Borders drawn against the lane on every second map, the right one on every third."""
+    k = F.col("n_nationkey")
+    point = lambda x, y: F.struct((k + x).alias("x"), F.lit(y).alias("y"))
+    line = lambda y: F.array(point(0.0, y), point(3.0, y), point(10.0, y))
+    lanes = spark.read.parquet(f"{sf_dir}/nation.parquet").select(k.alias("k"), line(0.0).alias("centerline"), F.when(k % 2 == 1, F.reverse(line(2.0))).otherwise(line(2.0)).alias("left_line"), F.when(k % 3 == 0, F.reverse(line(-2.0))).otherwise(line(-2.0)).alias("right_line"))
+    found = lane_maps.border_points(lanes)
+    start = [F.col("start_points")[i] for i in (0, 1)]
+    return found.select("k", start[0]["x"].alias("x_left"), start[0]["y"].alias("y_left"), start[1]["x"].alias("x_right"), start[1]["y"].alias("y_right"), F.col("end_points")[0]["x"].alias("x_end"))
+
+
 @query(f"""WITH {SQL}, f AS (SELECT total_nanos, row_number() OVER (ORDER BY total_nanos) - 1 AS frame FROM (SELECT DISTINCT total_nanos FROM tracks))
-SELECT frame, idx, round(degrees(yaw), 6) AS heading, round(length / 4, 6) AS wedge, concat_ws('-', CASE type WHEN 2 THEN 'VEHICLE' WHEN 3 THEN 'PEDESTRIAN' END, CASE WHEN subtype <> -1 THEN subtype::VARCHAR END) AS label
+SELECT frame, idx, round(degrees(yaw), 6) AS heading, round(length / 4, 6) AS wedge, concat_ws('-', CASE type WHEN 2 THEN 'VEHICLE' WHEN 3 THEN 'PEDESTRIAN' END, {_SUBTYPES}) AS label
 FROM tracks JOIN f USING (total_nanos) WHERE frame >= 10 AND frame < 500""")
 def frame_shapes(spark, sf_dir):
     return T.frame_shapes(tracks_from_events(spark, sf_dir), 10, 500).select("frame", "idx", F.round("heading", 6).alias("heading"), F.round("wedge", 6).alias("wedge"), "label")

@@ -92,3 +92,20 @@ def segment_table(assigned: DataFrame, lanes: DataFrame) -> DataFrame:
     rings = hulls.group_hulls(assigned.select("lane_id", F.col("segment").alias("group")), lanes).withColumnRenamed("group", "segment")
     rows = assigned.groupBy("segment", "kind").agg(F.sort_array(F.collect_list("lane_id")).alias("lane_ids"))
     return rows.join(rings, "segment").withColumn("centroid", geometry.ring_centroid(F.col("ring")))
+
+
+def segments_of(kind: str, lanes: DataFrame) -> DataFrame | None:
+    """(lane_id, segment_idx) by the kind of map: 'odr' by roads and junctions, 'centerline' by crossings; None for maps that have no segments.
+
+    RuntimeError if a lane of an OpenDRIVE map lies on no segment.
+    """
+    if kind == "odr":
+        found = maps.lane_segments(maps.road_segments(lanes))
+        maps.check_assigned(lanes, found)
+        return found
+    if kind == "centerline":
+        found = centerline_segments(lanes)
+        # a row a segment: junctions are numbered first
+        numbers = found.select("kind", "segment").distinct().withColumn("segment_idx", F.row_number().over(W.orderBy("kind", "segment")) - 1)
+        return found.join(numbers, ["kind", "segment"]).select("lane_id", "segment_idx")
+    return None

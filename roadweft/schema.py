@@ -12,6 +12,9 @@ TRACKS = T.StructType([T.StructField(c, T.LongType()) for c in LONGS] + [T.Struc
 
 # The public codes of object types and the type that counts as a vehicle.
 TYPE_NAMES = ["UNKNOWN", "OTHER", "VEHICLE", "PEDESTRIAN", "ANIMAL"]
+# The public codes of a vehicle's role and kind, from 0.
+ROLE_NAMES = ("UNKNOWN", "OTHER", "CIVIL", "AMBULANCE", "FIRE", "POLICE", "PUBLIC_TRANSPORT", "ROAD_ASSISTANCE", "GARBAGE_COLLECTION", "ROAD_CONSTRUCTION", "MILITARY")
+SUBTYPE_NAMES = ("UNKNOWN", "OTHER", "SMALL_CAR", "COMPACT_CAR", "MEDIUM_CAR", "LUXURY_CAR", "DELIVERY_VAN", "HEAVY_TRUCK", "SEMITRAILER", "TRAILER", "MOTORBIKE", "BICYCLE", "BUS", "TRAM", "TRAIN", "WHEELCHAIR", "SEMITRACTOR", "STANDUP_SCOOTER")
 VEHICLE, PEDESTRIAN, UNSET = 2, 3, -1
 #: Largest codes.
 LAST_TYPE, LAST_ROLE, LAST_SUBTYPE = 4, 10, 17
