@@ -153,7 +153,7 @@ def extended(line: Column, by: float) -> Column:
     def ends(line: Column) -> Column:
         first, last = F.element_at(line, 1), F.element_at(line, -1)
         second = F.get(F.filter(line, lambda p: (p["x"] != first["x"]) | (p["y"] != first["y"])), 0)
-        before = F.element_at(F.filter(line, lambda p: (p["x"] != last["x"]) | (p["y"] != last["y"])), -1)
+        before = F.try_element_at(F.filter(line, lambda p: (p["x"] != last["x"]) | (p["y"] != last["y"])), F.lit(-1))
         return F.struct(first.alias("first"), second.alias("second"), before.alias("before"), last.alias("last"))
 
     def beyond(end: Column, inner: Column) -> Column:
