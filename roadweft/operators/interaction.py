@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from roadweft.functions import geometry
 from roadweft.operators import tracks as T
 from roadweft.operators.joins import ego_band
+from roadweft.schema import recording
 
 Result = tuple[DataFrame, dict[str, DataFrame]]
 
@@ -79,13 +80,14 @@ BOX = ("x", "y", "length", "width", "yaw")
 @metric(requires_columns=["distance_traveled", "vel"], computes_properties=["timegaps", "min_timegaps"], computes_intermediate_properties=["crossed"])
 def observed_timegaps(df, ego_id, time_buffer=2_000_000_000):
     """Time between the ego and others at places where both have been, within time_buffer."""
+    key = [*recording(df), "idx_ego", "idx"]
     crossed = ego_band(df, ego_id, int(time_buffer))
     sides = [{c: F.col(c + end) for c in BOX} for end in ("", "_ego")]
     met = crossed.where(geometry.boxes_meet(*sides)).withColumn("timegap", (F.col("total_nanos") - F.col("total_nanos_ego")) / 1e9)
     row = ("timegap", "total_nanos", "distance_traveled", "distance_traveled_ego")
     best = F.min_by(F.struct(*row), F.struct(F.abs("timegap"), "total_nanos"))
-    timegaps = met.groupBy("idx_ego", "idx", "total_nanos_ego").agg(best.alias("b")).select("idx_ego", "idx", "total_nanos_ego", *(F.col(f"b.{c}").alias(c) for c in row))
-    least = timegaps.groupBy("idx_ego", "idx").agg(F.min_by("timegap", F.struct(F.abs("timegap"), "total_nanos_ego")).alias("min_timegap"))
+    timegaps = met.groupBy(*key, "total_nanos_ego").agg(best.alias("b")).select(*key, "total_nanos_ego", *(F.col(f"b.{c}").alias(c) for c in row))
+    least = timegaps.groupBy(*key).agg(F.min_by("timegap", F.struct(F.abs("timegap"), "total_nanos_ego")).alias("min_timegap"))
     return df, {"timegaps": timegaps, "min_timegaps": least, "crossed": crossed}
 
 
@@ -95,8 +97,9 @@ def predicted_timegaps(df, ego_id, crossed, timegaps, time_buffer=2_000_000_000)
 
     The least gap's column keeps the name p_timegap. Speeds of 0 give infinite or undefined gaps, which come last.
     """
-    over = timegaps.select("idx", "idx_ego", *(F.col(c).alias(f"{c}_overlap") for c in ("total_nanos", "total_nanos_ego", "distance_traveled", "distance_traveled_ego")))
-    both = crossed.join(over, ["idx", "idx_ego"])
+    key = [*recording(df), "idx_ego", "idx"]
+    over = timegaps.select(*key, *(F.col(c).alias(f"{c}_overlap") for c in ("total_nanos", "total_nanos_ego", "distance_traveled", "distance_traveled_ego")))
+    both = crossed.join(over, key)
 
     def to_overlap(end: str):
         t, t_over = F.col(f"total_nanos{end}"), F.col(f"total_nanos{end}_overlap")
@@ -106,8 +109,8 @@ def predicted_timegaps(df, ego_id, crossed, timegaps, time_buffer=2_000_000_000)
     gap = -(to_overlap("_ego") - to_overlap("") + (F.col("total_nanos_ego") - F.col("total_nanos")) / 1e9)
     both = both.withColumn("p_timegap", gap)
     best = F.min_by(F.struct("p_timegap", "total_nanos"), F.struct(F.abs("p_timegap"), "total_nanos"))
-    p = both.where("p_timegap is not null").groupBy("idx_ego", "idx", "total_nanos_ego").agg(best.alias("b")).select("idx_ego", "idx", "total_nanos_ego", "b.p_timegap", "b.total_nanos")
-    least = p.groupBy("idx_ego", "idx").agg(F.min_by("p_timegap", F.struct(F.abs("p_timegap"), "total_nanos_ego")).alias("p_timegap"))
+    p = both.where("p_timegap is not null").groupBy(*key, "total_nanos_ego").agg(best.alias("b")).select(*key, "total_nanos_ego", "b.p_timegap", "b.total_nanos")
+    least = p.groupBy(*key).agg(F.min_by("p_timegap", F.struct(F.abs("p_timegap"), "total_nanos_ego")).alias("p_timegap"))
     return df, {"p_timegaps": p, "min_p_timegaps": least}
 
 

@@ -7,25 +7,27 @@ from pyspark.sql import functions as F
 
 from roadweft.functions import geometry
 from roadweft.plans.staging import stage
+from roadweft.schema import recording
 
 
-def band_join(left: DataFrame, right: DataFrame, column: str, buffer: int, suffix: str) -> DataFrame:
-    """Pairs with right - buffer <= left <= right + buffer; right's columns get the suffix.
+def band_join(left: DataFrame, right: DataFrame, column: str, buffer: int, suffix: str, keys: list[str] | None = None) -> DataFrame:
+    """Pairs with right - buffer <= left <= right + buffer and equal keys; right's other columns get the suffix.
 
     Either side is dealt by bins of the buffer's width: left rows go to their bin, right rows to each bin they
     can reach (three at most), so rows of one time span meet without a product of all rows.
     """
     width = max(1, int(buffer))
-    other = right.select(*(F.col(c).alias(f"{c}{suffix}") for c in right.columns))
+    keys = keys or []
+    other = right.select(*(F.col(c).alias(c if c in keys else f"{c}{suffix}") for c in right.columns))
     key = F.col(f"{column}{suffix}")
     bins = F.sequence(F.floor((key - buffer) / width), F.floor((key + buffer) / width))
-    joined = left.withColumn("_bin", F.floor(F.col(column) / width)).join(other.withColumn("_bin", F.explode(bins)), "_bin")
+    joined = left.withColumn("_bin", F.floor(F.col(column) / width)).join(other.withColumn("_bin", F.explode(bins)), ["_bin", *keys])
     return joined.where((F.col(column) >= key - buffer) & (F.col(column) <= key + buffer)).drop("_bin")
 
 
 def ego_band(tracks: DataFrame, ego_id: int, buffer: int) -> DataFrame:
-    """Rows of others met in time with rows of the ego."""
-    return band_join(tracks.where(F.col("idx") != ego_id), tracks.where(F.col("idx") == ego_id), "total_nanos", buffer, "_ego")
+    """Rows of others met in time with rows of the ego of their recording."""
+    return band_join(tracks.where(F.col("idx") != ego_id), tracks.where(F.col("idx") == ego_id), "total_nanos", buffer, "_ego", recording(tracks))
 
 
 def cells(df: DataFrame, size: float, x_min, x_max, y_min, y_max) -> DataFrame:

@@ -5,6 +5,8 @@ t is negative to the left of a lane's direction.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,8 @@ from roadweft.functions import geometry
 from roadweft.operators import tracks as T
 from roadweft.operators.joins import edge_join, grid_join, until_found
 from roadweft.operators.maps import bounds
+from roadweft.plans.staging import stage
+from roadweft.schema import recording
 
 #: Costs of a step between lanes: the same lane, along the road, to a neighbour, unrelated.
 SAME, FOLLOWS, BESIDE, UNRELATED = 1, 2, 3, 4
@@ -28,12 +32,18 @@ def along(x: Column, y: Column, long: Column) -> Column:
     return geometry.let(found, lambda p: F.struct(p["d"].alias("d"), (p["s"] - EXTENT).alias("s"), p["t"].alias("t")))
 
 
-KEY = ["idx", "total_nanos", "x", "y"]
+def _row(points: DataFrame) -> list[str]:
+    return [*recording(points), "idx", "total_nanos"]
+
+
+def _point(points: DataFrame) -> list[str]:
+    return [*_row(points), "x", "y"]
 
 
 def _near(points: DataFrame, lanes: DataFrame, reach: float, size: float) -> DataFrame:
     """(idx, total_nanos, x, y, lane_id, d, shaped): points met with lanes within reach; d to the lane's polygon (0 inside) or else to its line as it is."""
-    points = points.select(*KEY)
+    key = _point(points)
+    points = points.select(*key)
     shaped = F.col("polygon").isNotNull() if "polygon" in lanes.columns else F.lit(False)
     line = F.coalesce("polygon", "centerline") if "polygon" in lanes.columns else F.col("centerline")
     met = edge_join(points, lanes.select("lane_id", shaped.alias("shaped"), line.alias("line")), reach, size)
@@ -41,14 +51,14 @@ def _near(points: DataFrame, lanes: DataFrame, reach: float, size: float) -> Dat
         xs, ys = F.col("polygon.x"), F.col("polygon.y")
         areas = lanes.where(shaped).select("lane_id", "polygon", F.array_min(xs).alias("x_min"), F.array_max(xs).alias("x_max"), F.array_min(ys).alias("y_min"), F.array_max(ys).alias("y_max"))
         inside = grid_join(points, areas, size).where(geometry.point_in_ring(F.col("x"), F.col("y"), F.col("polygon")))
-        met = met.unionByName(inside.select(*KEY, "lane_id", F.lit(True).alias("shaped"), F.lit(0.0).alias("d")))
-    return met.groupBy(*KEY, "lane_id").agg(F.min("d").alias("d"), F.max("shaped").alias("shaped"))
+        met = met.unionByName(inside.select(*key, "lane_id", F.lit(True).alias("shaped"), F.lit(0.0).alias("d")))
+    return met.groupBy(*key, "lane_id").agg(F.min("d").alias("d"), F.max("shaped").alias("shaped"))
 
 
 def _placed(near: DataFrame, lanes: DataFrame) -> DataFrame:
     """Rows with s and t on their lanes, which are made longer once."""
     long = lanes.select("lane_id", geometry.extended(F.col("centerline"), EXTENT).alias("long"))
-    return near.join(long, "lane_id").withColumn("p", along(F.col("x"), F.col("y"), F.col("long"))).select(*KEY, "lane_id", "d", "p.s", "p.t")
+    return near.join(long, "lane_id").withColumn("p", along(F.col("x"), F.col("y"), F.col("long"))).select(*_point(near), "lane_id", "d", "p.s", "p.t")
 
 
 def candidates(points: DataFrame, lanes: DataFrame, half_width: float = 1.75, size: float = 25.0) -> DataFrame:
@@ -64,67 +74,141 @@ def nearest(points: DataFrame, lanes: DataFrame, reach: float = 25.0) -> DataFra
 def ring(points: DataFrame, lanes: DataFrame, tolerance: float = 1.1, reach: float = 25.0) -> DataFrame:
     """All lanes no farther than tolerance times the least distance, however far; the search begins within reach."""
 
+    key = _point(points)
+
     def search(some: DataFrame, within: float) -> DataFrame:
         near = _near(some, lanes, within, max(25.0, within))
-        per = near.groupBy(*KEY).agg(F.min("d").alias("least"), F.collect_list(F.struct("lane_id", "d")).alias("found"))
+        per = near.groupBy(*key).agg(F.min("d").alias("least"), F.collect_list(F.struct("lane_id", "d")).alias("found"))
         # a ring that goes beyond what was searched is not whole
         per = per.where(tolerance * F.col("least") <= within)
-        return per.select(*KEY, F.inline(F.filter("found", lambda f: f["d"] <= tolerance * F.col("least"))))
+        return per.select(*key, F.inline(F.filter("found", lambda f: f["d"] <= tolerance * F.col("least"))))
 
-    return _placed(until_found(points.select(*KEY), bounds(lanes), ["idx", "total_nanos"], search, reach), lanes)
+    return _placed(until_found(points.select(*key), bounds(lanes), _row(points), search, reach), lanes)
 
 
 def associate(points: DataFrame, lanes: DataFrame, half_width: float = 1.75, reach: float = 25.0) -> DataFrame:
     """Lanes that hold a point; for points that none holds, the nearest, however far."""
     held = candidates(points, lanes, half_width)
-    lost = points.join(held.select("idx", "total_nanos").distinct(), ["idx", "total_nanos"], "left_anti")
+    lost = points.join(held.select(*_row(points)).distinct(), _row(points), "left_anti")
     return held.unionByName(nearest(lost, lanes, reach))
 
 
-def best_path(times: np.ndarray, lane: np.ndarray, cost) -> np.ndarray:
-    """Rows of the cheapest sequence with one lane at each time; the smaller lane on ties."""
-    steps = [np.flatnonzero(times == t) for t in np.unique(times)]
-    steps = [s[np.argsort(lane[s], kind="stable")] for s in steps]
-    total, back = np.zeros(len(steps[0])), []
-    for a, b in zip(steps[:-1], steps[1:], strict=True):
-        step = np.array([[cost(x, y) for x in lane[a]] for y in lane[b]])
-        sums = step + total
-        back.append(sums.argmin(axis=1))
-        total = sums.min(axis=1)
-    i, out = int(total.argmin()), []
-    for s, prev in zip(steps[::-1], [*back[::-1], None], strict=True):
-        out.append(s[i])
-        i = int(prev[i]) if prev is not None else 0
-    return np.array(out[::-1])
-
-
-def single_lane(located: DataFrame, edges: DataFrame) -> DataFrame:
-    """One candidate a row of each object: the path of least cost over its lanes.
-
-    edges (src, dst, label) are the map's relations, gathered to the driver: a map has as many as it has lanes,
-    not as many as there are rows.
-    """
-    label = {(r["src"], r["dst"]): r["label"] for r in edges.collect()}
+def _steps(located: DataFrame, edges: DataFrame, size: int) -> DataFrame:
+    """A row for each time of an object: block, step, and what it costs to come from each lane of the time before.
 
-    def cost(a, b) -> int:
-        if a == b:
-            return SAME
-        if (a, b) not in label or (b, a) not in label:
-            return UNRELATED
-        return FOLLOWS if label[a, b] in ("successor", "predecessor") else BESIDE
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        return pdf.iloc[best_path(pdf["total_nanos"].to_numpy(), pdf["lane_id"].to_numpy(), cost)]
-
-    return located.groupBy("idx").applyInPandas(run, located.schema)
+    base holds the costs of all pairs (lane before, lane now) in rows, prices those of related pairs at spots of base.
+    The first time of an object has one row of zeros.
+    """
+    at = [*_object(located), "total_nanos"]
+    place = F.transform(F.sort_array(F.collect_list(F.struct("pos", "lane_id"))), lambda s: s["lane_id"])
+    w = W.partitionBy(*_object(located)).orderBy("total_nanos")
+    steps = located.groupBy(*at).agg(place.alias("lanes")).withColumns({"step": F.row_number().over(w) - 1, "before": F.lag("lanes").over(w)})
+    n = F.size("lanes")
+    pair = lambda a: F.transform("lanes", lambda b: F.when(a.eqNullSafe(b), SAME).otherwise(UNRELATED))
+    base = F.when(F.col("before").isNull(), F.array_repeat(F.lit(0), n)).otherwise(F.flatten(F.transform("before", pair)))
+    along = F.col("label").isin("successor", "predecessor")
+    one_way = edges.groupBy("src", "dst").agg(F.min(F.when(along, FOLLOWS).otherwise(BESIDE)).alias("price"))
+    both = one_way.join(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct(), ["src", "dst"])
+    pairs = steps.where("before is not null and before <> lanes or size(lanes) > 1").select(*at, "lanes", n.alias("n"), F.posexplode("before").alias("i", "src"))
+    pairs = pairs.select(*at, "n", "i", "src", F.posexplode("lanes").alias("j", "dst")).where("src <> dst")
+    related = pairs.join(both, ["src", "dst"]).groupBy(*at).agg(F.collect_list(F.struct((F.col("i") * F.col("n") + F.col("j")).alias("spot"), "price")).alias("r"))
+    block = F.floor(F.col("step") / size)
+    return steps.join(related, at, "left").select(*at, block.alias("block"), "step", n.alias("n"), base.alias("base"), F.col("r.spot").alias("spots"), F.col("r.price").alias("prices"))
+
+
+def _object(located: DataFrame) -> list[str]:
+    return [*recording(located), "idx"]
+
+
+def _costs(block: pd.DataFrame) -> Iterator[np.ndarray]:
+    """Cost matrices (lane before, lane now) of a block's steps, in order of time."""
+    for n, base, spots, prices in block.sort_values("step")[["n", "base", "spots", "prices"]].itertuples(index=False):
+        m = np.array(base, np.int64)
+        if spots is not None:
+            m[np.asarray(spots, np.int64)] = np.asarray(prices, np.int64)
+        yield m.reshape(-1, n)
+
+
+def _span(block: pd.DataFrame) -> pd.DataFrame:
+    """The least cost of a whole block, from each lane before it to each of its last lanes."""
+    total = None
+    for m in _costs(block):
+        total = m if total is None else (total[:, :, None] + m[None]).min(axis=1)
+    return block.iloc[:1].assign(n=total.shape[1], least=[total.ravel().tolist()])
+
+
+def _entries(spans: pd.DataFrame) -> pd.DataFrame:
+    """The least cost of each lane before each block of an object."""
+    spans, total, out = spans.sort_values("block"), np.zeros(1, np.int64), []
+    for n, least in zip(spans["n"], spans["least"], strict=True):
+        out.append(total.tolist())
+        total = (total[:, None] + np.array(least, np.int64).reshape(-1, n)).min(axis=0)
+    return spans.assign(entry=out)
+
+
+def _paths(block: pd.DataFrame) -> pd.DataFrame:
+    """For each last lane of a block: its total, the lane before the block, and the lane of each step; smaller lanes on ties."""
+    total, back = np.array(block["entry"].iloc[0], np.int64), []
+    for m in _costs(block):
+        sums = total[:, None] + m
+        back.append(sums.argmin(axis=0))
+        total = sums.min(axis=0)
+    ends = np.arange(len(total))
+    picks = [ends]
+    for b in back[::-1]:
+        picks.append(b[picks[-1]])
+    picks = np.array(picks[::-1])
+    out = pd.concat([block.iloc[:1]] * len(ends), ignore_index=True)
+    times = np.sort(block["total_nanos"].to_numpy()).tolist()
+    return out.assign(leave=ends, enter=picks[0], total=total, picks=picks[1:].T.tolist(), times=[times] * len(ends))
+
+
+def _chain(ends: pd.DataFrame) -> pd.DataFrame:
+    """The block ends that the cheapest path of an object goes through."""
+    ends = ends.sort_values(["block", "leave"])
+    blocks = ends["block"].to_numpy()
+    first = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]])
+    at = int(ends["total"].iloc[first[-1] :].to_numpy().argmin())
+    enter, out = ends["enter"].to_numpy(), []
+    for start in first[::-1]:
+        out.append(start + at)
+        at = int(enter[start + at])
+    return ends.iloc[out[::-1]]
+
+
+def single_lane(located: DataFrame, edges: DataFrame, size: int = 1024) -> DataFrame:
+    """One candidate a row of each object: the path of least cost over its lanes; the smaller lane on ties, last times first.
+
+    edges (src, dst, label) are the map's relations; a pair counts as related where both directions are there. They
+    meet the pairs of lanes that objects go through in a join. Paths are searched in blocks of size times: the least
+    cost from end to end of each block, the totals before each block (a row a block), the paths in each block, and
+    the chain of blocks. So a task holds one block, or one short row for each block of an object.
+    """
+    key = _object(located)
+    order = W.partitionBy(*key, "total_nanos").orderBy("lane_id")
+    located = stage(located.withColumn("pos", F.row_number().over(order) - 1), "locate-candidates")
+    steps = stage(_steps(located, edges, size), "locate-steps")
+    kind = {f.name: f.dataType.simpleString() for f in located.schema.fields}
+    head = ", ".join(f"{c} {kind[c]}" for c in key) + ", block long"
+
+    def grouped(df: DataFrame, by: list[str], f, more: str) -> DataFrame:
+        names = [*key, "block", *(c.split()[0] for c in more.split(", "))]
+        return df.groupBy(*by).applyInPandas(lambda pdf: f(pdf)[names], f"{head}, {more}")
+
+    spans = grouped(steps, [*key, "block"], _span, "n long, least array<long>")
+    entries = grouped(spans, key, _entries, "entry array<long>")
+    paths = stage(grouped(steps.join(entries, [*key, "block"]), [*key, "block"], _paths, "leave long, enter long, total long, picks array<long>, times array<long>"), "locate-paths")
+    chain = grouped(paths.select(*key, "block", "leave", "enter", "total"), key, _chain, "leave long")
+    chosen = paths.join(chain, [*key, "block", "leave"]).select(*key, F.explode(F.arrays_zip("times", "picks")).alias("p"))
+    chosen = chosen.select(*key, F.col("p.times").alias("total_nanos"), F.col("p.picks").alias("pos"))
+    return located.join(chosen, [*key, "total_nanos", "pos"]).drop("pos")
 
 
 def locate(tracks: DataFrame, lanes: DataFrame, edges: DataFrame, half_width: float = 1.75) -> DataFrame:
     """(idx, total_nanos, lane_id, s, t): rows that move are located, standing rows keep the last place."""
     marked = T.moving(tracks)
-    found = single_lane(associate(marked.where("moved"), lanes, half_width), edges).select("idx", "total_nanos", "lane_id", "s", "t")
-    out = marked.select("idx", "total_nanos", "moved").join(found, ["idx", "total_nanos"], "left")
+    found = single_lane(associate(marked.where("moved"), lanes, half_width), edges).select(*_row(tracks), "lane_id", "s", "t")
+    out = marked.select(*_row(tracks), "moved").join(found, _row(tracks), "left")
     for c in ("lane_id", "s", "t"):
         out = T.fill_stationary(out, c)
     return out.drop("moved")
@@ -159,12 +243,12 @@ def chunk_faults(located: DataFrame, lanes: DataFrame, lane_segment: DataFrame,
     joined = located.join(known, "lane_id", "left").join(lane_segment.select("lane_id", "segment_idx"), "lane_id", "left").join(segments.select("segment_idx", "ring"), "segment_idx", "left")
     inside = F.coalesce(geometry.point_in_ring(F.col("x"), F.col("y"), F.col("ring")), F.lit(False))
     fault = F.when(F.col("lane_id").isNull(), "no_lane").when(F.col("known").isNull(), "unknown_lane").when(F.col("segment_idx").isNull(), "no_segment").when(~inside, "outside")
-    return joined.select("idx", "total_nanos", fault.alias("fault")).where("fault is not null")
+    return joined.select(*_row(located), fault.alias("fault")).where("fault is not null")
 
 
 def time_on_segment(tracks: DataFrame, segments: DataFrame) -> DataFrame:
     """First and last time of each object within each segment's ring; its border is outside, gaps count as inside."""
     xs, ys = F.col("ring.x"), F.col("ring.y")
     areas = segments.withColumns({"x_min": F.array_min(xs), "x_max": F.array_max(xs), "y_min": F.array_min(ys), "y_max": F.array_max(ys)}).select("segment_idx", "ring", "x_min", "x_max", "y_min", "y_max")
-    inside = grid_join(tracks.select("idx", "total_nanos", "x", "y"), areas).where(geometry.point_in_ring(F.col("x"), F.col("y"), F.col("ring"), border=False))
-    return inside.groupBy("segment_idx", "idx").agg(F.min("total_nanos").alias("t_in"), F.max("total_nanos").alias("t_out"))
+    inside = grid_join(tracks.select(*_point(tracks)), areas).where(geometry.point_in_ring(F.col("x"), F.col("y"), F.col("ring"), border=False))
+    return inside.groupBy(*recording(tracks), "segment_idx", "idx").agg(F.min("total_nanos").alias("t_in"), F.max("total_nanos").alias("t_out"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from roadweft.operators.tracks import with_frames
-from roadweft.schema import DOUBLES, LAST_ROLE, LAST_SUBTYPE, LAST_TYPE, LONGS, TRACKS, UNSET, VEHICLE
+from roadweft.schema import DOUBLES, LAST_ROLE, LAST_SUBTYPE, LAST_TYPE, LONGS, TRACKS, UNSET, VEHICLE, recording
 
 
 def row_rules() -> dict[str, Column]:
@@ -33,18 +33,18 @@ def schema_faults(df: DataFrame) -> list[str]:
 
 
 def duplicate_keys(tracks: DataFrame) -> DataFrame:
-    return tracks.groupBy("idx", "total_nanos").agg(F.count("*").alias("n")).where("n > 1")
+    return tracks.groupBy(*recording(tracks), "idx", "total_nanos").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def frame_skips(tracks: DataFrame) -> DataFrame:
     """Rows whose frame does not follow the object's row before."""
-    step = F.col("frame") - F.lag("frame").over(W.partitionBy("idx").orderBy("frame"))
+    step = F.col("frame") - F.lag("frame").over(W.partitionBy(*recording(tracks), "idx").orderBy("frame"))
     return with_frames(tracks).withColumn("step", F.coalesce(step, F.lit(1))).where("step <> 1")
 
 
 def report(tracks: DataFrame) -> DataFrame:
     """(rule, violations) for every rule, zero included."""
-    rules = row_rules()
+    rules = row_rules() | {f"null_{c}": F.col(c).isNull() for c in recording(tracks)}
     sums = tracks.agg(*(F.sum(F.when(v, 1).otherwise(0)).alias(k) for k, v in rules.items()))
     pairs = F.array(*(F.struct(F.lit(k).alias("rule"), F.coalesce(F.col(k), F.lit(0)).alias("violations")) for k in rules))
     out = sums.select(F.explode(pairs).alias("p")).select("p.rule", "p.violations")

@@ -208,6 +208,47 @@ def projection_lookup(spark, sf_dir):
     return tracks.join(offsets(tracks), "total_nanos", "left").select("event_id", F.coalesce("ox", F.lit(1.0)).alias("ox"), F.col("ox").isNull().alias("is_default"))
 
 
+def recordings(spark, sf_dir) -> DataFrame:
+    """Two recordings in one table, with the same objects."""
+    return tracks_from_events(spark, sf_dir).withColumn("recording_id", (F.col("event_id") % 2).cast("string"))
+
+
+def _kept_apart(sql: str) -> str:
+    """SQL over one recording's tracks, with recordings kept apart."""
+    with_id = "rec AS (SELECT *, (event_id % 2)::VARCHAR AS recording_id FROM tracks),"
+    sql = sql.removeprefix(f"{W_},").replace("FROM tracks", "FROM rec").replace("PARTITION BY idx", "PARTITION BY recording_id, idx")
+    for a, b in (("ON e.idx", "ON a.recording_id = e.recording_id AND e.idx"), ("JOIN grid ON", "JOIN grid ON seg.recording_id = grid.recording_id AND"), ("SELECT idx", "SELECT recording_id, idx")):
+        sql = sql.replace(a, b)
+    return f"{W_}, {with_id} {sql}"
+
+
+_FRAMES = "framed AS (SELECT *, dense_rank() OVER (PARTITION BY recording_id ORDER BY total_nanos) - 1 AS frame FROM rec)"
+
+
+@query(_kept_apart(f"{_FRAMES} SELECT DISTINCT recording_id, total_nanos, frame FROM framed"))
+def recordings_frames(spark, sf_dir):
+    return T.frame_dim(recordings(spark, sf_dir))
+
+
+@query(_kept_apart(f"""{_FRAMES} SELECT idx, round(avg(length), 6) AS length, round(avg(width), 6) AS width, round(avg(height), 6) AS height, mode(type) AS type, mode(role) AS role, mode(subtype) AS subtype,
+  min(frame) AS birth, max(frame) AS "end", min(total_nanos) AS t_birth, max(total_nanos) AS t_end FROM framed GROUP BY recording_id, idx"""))
+def recordings_summary(spark, sf_dir):
+    return rounded(T.object_summary(recordings(spark, sf_dir)), "length", "width", "height")
+
+
+@query(_kept_apart(f"{W_}, {GAPS} SELECT idx_ego, idx, total_nanos_ego, round(timegap, 6) AS timegap, total_nanos, round(distance_traveled, 6) AS distance_traveled, round(distance_traveled_ego, 6) AS distance_traveled_ego FROM timegaps"))
+def recordings_timegaps(spark, sf_dir):
+    made = interaction.MetricManager().compute(recordings(spark, sf_dir), ego_id=EGO, time_buffer=BUFFER)[1]
+    return rounded(made["timegaps"], "timegap", "distance_traveled", "distance_traveled_ego")
+
+
+@query(_kept_apart(_interpolated("grid AS (SELECT recording_id, a + i * 10800000000000 AS t FROM (SELECT recording_id, min(total_nanos) AS a, max(total_nanos) AS b FROM rec GROUP BY recording_id), range(100000) r(i) WHERE i < ceil((b + 1 - a) / 10800000000000.0e0))").replace(f" {FRAMED},", "")))
+def recordings_interpolate(spark, sf_dir):
+    tracks = recordings(spark, sf_dir)
+    at = resample.interpolate_hz(tracks, 1 / 10800)
+    return rounded(at.select("recording_id", "idx", "total_nanos", "x", "y", F.sin("yaw").alias("sin_yaw")), "x", "y", "sin_yaw", digits=5)
+
+
 def broken(spark, sf_dir) -> DataFrame:
     """Trajectories with planted faults."""
     e = F.col("event_id")

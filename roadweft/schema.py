@@ -20,6 +20,15 @@ VEHICLE, PEDESTRIAN, UNSET = 2, 3, -1
 LAST_TYPE, LAST_ROLE, LAST_SUBTYPE = 4, 10, 17
 
 
+#: The column that tells the recordings of one table apart. Where a table has it, operators keep recordings apart; it is never null.
+RECORDING = "recording_id"
+
+
+def recording(df: DataFrame) -> list[str]:
+    """The key of recordings; empty where a table holds one recording."""
+    return [RECORDING] if RECORDING in df.columns else []
+
+
 def as_tracks(df: DataFrame) -> DataFrame:
     """df with the known columns in their types; other columns pass through. total_nanos must be there."""
     if "total_nanos" not in df.columns:

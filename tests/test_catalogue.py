@@ -7,9 +7,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from roadweft.operators import resample
+from roadweft.operators import interaction, resample, validate
 from roadweft.operators import tracks as T
 from roadweft.plans import catalogue
+from roadweft.schema import recording
 from roadweft.sources.events import tracks_from_events
 
 DATA = "/root/testdata/sf0.001"
@@ -37,6 +38,37 @@ def test_every_query_gives_rows(spark):
     assert catalogue.QUERIES["locate_tracks"](spark, DATA).count() > 0
 
 
+def test_recordings_are_kept_apart(spark):
+    """What each operator gives for a table of two recordings is what it gives for each of them."""
+    events = tracks_from_events(spark, DATA).where("event_id % 10 < 4").drop("frame")
+    both = events.withColumn("recording_id", (F.col("event_id") % 2).cast("string"))
+    offsets = both.where("event_id % 4 = 0").selectExpr("recording_id", "total_nanos", "1.0D ox", "2.0D oy", "3.0D oz", "0.1D oyaw").unionByName(both.where("event_id % 4 = 0").selectExpr("'1' recording_id", "total_nanos", "9.0D ox", "2.0D oy", "3.0D oz", "0.1D oyaw"))
+    shapes = {
+        "frames": T.with_frames,
+        "default": lambda t: resample.interpolate_times(t, resample.default_times(t, T.frame_dim(t)).where("t % 16 = 0")),
+        "skips": T.no_frame_skip,
+        "moving": T.moving,
+        "box": T.view_box,
+        "faults": lambda t: validate.frame_skips(t).select(*recording(t), "idx", "total_nanos", "step"),
+        "keys": lambda t: validate.duplicate_keys(t.unionByName(t)),
+        "offsets": lambda t: resample.apply_offsets(t, offsets if recording(t) else offsets.where(F.col("recording_id") == t.first()["part"]).drop("recording_id")).drop("part"),
+        "p": lambda t: interaction.MetricManager().compute(t, ego_id=8, time_buffer=10**14)[1]["p_timegaps"],
+        "runs": lambda t: T.runs(t, "idx", "total_nanos", "type"),
+    }
+    for name, f in shapes.items():
+        got = f(both)
+        if name in ("frames", "moving"):
+            got = got.select("recording_id", "event_id", "frame" if name == "frames" else "moved")
+        columns = [c for c in got.columns if c != "recording_id"]
+        for part in "01":
+            alone = f(both.where(F.col("recording_id") == part).drop("recording_id").withColumn("part", F.lit(part)))
+            want = plain(alone.select(*columns).collect(), columns)
+            shown = plain(got.where(F.col("recording_id") == part).select(*columns).collect(), columns)
+            # as text, since NaN differs from itself
+            assert repr(shown) == repr(want), (name, part)
+        assert not got.isEmpty(), name
+
+
 def test_every_event_is_a_light(spark):
     events = {r["event_id"] for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_id").collect()}
     assert {r["light_id"] for r in catalogue.QUERIES["light_nearest"](spark, DATA).collect()} == events

@@ -7,21 +7,34 @@ from pyspark.sql import functions as F
 
 from roadweft.functions.geometry import extended
 from roadweft.operators import locate
-from roadweft.operators.locate import best_path, chunk_faults
+from roadweft.operators.locate import chunk_faults
 from roadweft.operators.maps import lane_edges, nearest_lane, route
 from roadweft.sources.events import tracks_from_events
 from roadweft.sources.recordings import Recording, read_recording
 
 
-def test_best_path_is_cheapest():
+def test_lane_path_is_cheapest(spark):
+    """Blocks of any size give the path that a search over all paths gives, the smaller lane on ties, last times first."""
     rng = np.random.default_rng(2)
-    for _ in range(20):
-        times = np.sort(rng.integers(0, 5, 9))
-        lane = np.concatenate([rng.permutation(10)[: (times == t).sum()] for t in np.unique(times)])
-        cost = lambda a, b: 1 if a == b else 2 if abs(a - b) == 1 else 4
-        total = lambda rows: sum(cost(lane[i], lane[j]) for i, j in itertools.pairwise(rows))
-        every = itertools.product(*(np.flatnonzero(times == t) for t in np.unique(times)))
-        assert total(best_path(times, lane, cost)) == min(map(total, every))
+    links = {(int(a), int(b)): str(rng.choice(["successor", "predecessor", "left neighbour"])) for a, b in rng.integers(0, 8, (24, 2)) if a != b}
+    rows = [(r, idx, t * 10, int(x)) for r in "ab" for idx in range(4) for t in range(6) for x in rng.choice(8, rng.integers(1, 4), replace=False)]
+
+    def cost(a, b):
+        if a == b:
+            return 1
+        return 4 if (a, b) not in links or (b, a) not in links else 2 if links[a, b] in ("successor", "predecessor") else 3
+
+    want = set()
+    for r, idx in itertools.product("ab", range(4)):
+        at = [sorted(x for *k, x in rows if k == [r, idx, t * 10]) for t in range(6)]
+        best = min(itertools.product(*at), key=lambda p: (sum(itertools.starmap(cost, itertools.pairwise(p))), p[::-1]))
+        want |= {(r, idx, t * 10, x) for t, x in enumerate(best)}
+    located = spark.createDataFrame(rows, "recording_id string, idx long, total_nanos long, lane_id long")
+    edges = spark.createDataFrame([(*k, v) for k, v in links.items()], "src long, dst long, label string")
+    for size in (1, 2, 4, 100):
+        assert {tuple(x) for x in locate.single_lane(located, edges, size).select("recording_id", "idx", "total_nanos", "lane_id").collect()} == want
+    assert locate.single_lane(located.limit(0), edges).isEmpty()
+    assert locate.single_lane(located, edges.limit(0)).count() == len(want)
 
 
 def test_recording_round_trip(spark, tmp_path):
@@ -74,10 +87,12 @@ def test_far_points_have_a_lane(spark):
 
 def test_far_rows_do_not_keep_an_earlier_place(spark):
     lanes = spark.createDataFrame([(1, [(0.0, 0.0), (100.0, 0.0)]), (2, [(0.0, 500.0), (100.0, 500.0)])], "lane_id long, centerline array<struct<x:double,y:double>>")
-    tracks = spark.createDataFrame([(1, 1, 10.0, 0.0), (1, 2, 20.0, 400.0), (1, 3, 20.0, 400.0)], "idx long, total_nanos long, x double, y double")
+    one = [(1, 1, 10.0, 0.0), (1, 2, 20.0, 400.0), (1, 3, 20.0, 400.0)]
+    other = [("b", i, t, x, 500.0 - y) for i, t, x, y in one]
+    tracks = spark.createDataFrame([("a", *r) for r in one] + other, "recording_id string, idx long, total_nanos long, x double, y double")
     edges = spark.createDataFrame([], "src long, dst long, label string")
-    got = {r["total_nanos"]: (r["lane_id"], round(r["s"], 6), round(r["t"], 6)) for r in locate.locate(tracks, lanes, edges).collect()}
-    assert got == {1: (1, 10.0, 0.0), 2: (2, 20.0, 100.0), 3: (2, 20.0, 100.0)}
+    got = {(r["recording_id"], r["total_nanos"]): (r["lane_id"], round(r["s"], 6), round(r["t"], 6)) for r in locate.locate(tracks, lanes, edges).collect()}
+    assert got == {("a", 1): (1, 10.0, 0.0), ("a", 2): (2, 20.0, 100.0), ("a", 3): (2, 20.0, 100.0), ("b", 1): (2, 10.0, 0.0), ("b", 2): (1, 20.0, -100.0), ("b", 3): (1, 20.0, -100.0)}
 
 
 def test_polygons_and_neighbours(spark):
