@@ -53,15 +53,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def streams(rows: DataFrame) -> DataFrame:
-    """rows (file, row, doc_id, source, size) with pos, the words of its source before it in the shuffled order."""
+    """rows (file, row, doc_id, source, size, mark) with pos, the words of its source before it in the shuffled order."""
     key = F.coalesce(F.pmod("doc_id", F.lit(1 << 31)), F.lit(0)) * F.lit(2654435761)
-    # rows without an id would all have one hash: they are spread by where they lie
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("file", "row")).otherwise(key)
+    # rows without an id would all have one hash: they are spread by what they hold
+    key = F.when(F.col("doc_id").isNull(), F.col("mark")).otherwise(key)
     rows = rows.withColumn("h", F.pmod(key, F.lit(1 << 32))).withColumn("bucket", F.shiftright("h", BELOW))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     base = sums.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inner = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "file", "row").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "mark", "file", "row").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     same = rows["source"].eqNullSafe(base["source"]) & (rows["bucket"] == base["bucket"])
     kept = (rows[c] for c in ("file", "row", "doc_id", "source", "size"))
@@ -116,11 +116,11 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The mix of rows (file, row, doc_id, source, size), file and row together distinct, and the targets.
+    """The mix of rows (file, row, doc_id, source, size, mark), file and row together distinct, and the targets.
 
     First result: (file, row, slot, pass, first, words): the words first .. first + words of a document that a slot
     takes. Documents without words are never taken. Null sources are a source; rows that repeat an id, and those
-    without one, are documents of their own.
+    without one, are documents of their own. Equal ids and sizes go by mark, so where rows lie changes nothing.
     """
     goals = stage(targets(rows, weights, share, passes), "mix-targets")
     laid = streams(rows).where("size > 0")
@@ -148,11 +148,19 @@ def located(docs: DataFrame) -> DataFrame:
         return stage(docs.select(*names), "mix-docs").select("*", *where)
 
 
+def mark(placed: DataFrame) -> Column:
+    """A hash of all columns of documents as located() gives them, the same wherever a row lies."""
+    fields = [f for f in placed.schema.fields if f.name not in ("file", "row")]
+    unhashed = [any(kind in f.dataType.simpleString() for kind in ("map<", "variant")) for f in fields]
+    values = [F.to_json(F.struct(f.name)) if u else F.col(f.name) for f, u in zip(fields, unhashed, strict=True)]
+    return F.xxhash64(*(x for v in values for x in (v, v.isNull())))
+
+
 def numbered(placed: DataFrame, columns: list[str]) -> DataFrame:
-    """(file, row, doc_id, source, size) of documents as located() gives them; columns are their own names."""
+    """(file, row, doc_id, source, size, mark) of documents as located() gives them; columns are their own names."""
     own = {c: F.col(f"c{i}") for i, c in enumerate(columns)}
     size = F.coalesce(F.regexp_count(own["text"], F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    return stage(placed.select("file", "row", own["doc_id"].cast("long").alias("doc_id"), own["source"].cast("string").alias("source"), size.alias("size")), "mix-rows")
+    return stage(placed.select("file", "row", own["doc_id"].cast("long").alias("doc_id"), own["source"].cast("string").alias("source"), size.alias("size"), mark(placed).alias("mark")), "mix-rows")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
@@ -170,7 +178,7 @@ def op1_mixing(spark, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mixed corpus with the columns of docs, in the order of the schedule: a row for each pass over a document, its text the words taken.
 
-    A pass comes where the first slot that takes of it is. A text that a pass takes whole stays as it is; else its
+    A pass comes where the first slot that takes of it is, in a slot by a hash of the row: reruns agree on tables in other files, too. A text that a pass takes whole stays as it is; else its
     words are joined by a space. n_chars follows the text. Documents without words go, as no slot takes them.
     """
     placed = located(docs)
@@ -179,8 +187,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     spans = stage(spans, "mix-spans")
     bounds = range_bounds(spans, F.col("slot"), partitions(docs.sparkSession))
     per = spans.groupBy("file", "row").agg(F.collect_list(F.struct("pass", "first", "words", "slot")).alias("spans"))
-    out = placed.join(per, ["file", "row"]).withColumn("s", F.explode("spans")).drop("spans")
-    out = out.repartitionById(len(bounds) + 1, range_of(F.col("s.slot"), bounds)).sortWithinPartitions("s.slot", "file", "row", "s.pass")
+    out = placed.withColumn("mark", mark(placed)).join(per, ["file", "row"]).withColumn("s", F.explode("spans")).drop("spans")
+    out = out.repartitionById(len(bounds) + 1, range_of(F.col("s.slot"), bounds)).sortWithinPartitions("s.slot", "mark", "s.pass", "s.first", "s.words")
     own = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
     words = F.filter(F.split(own["text"], r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.array_join(F.slice(words, (F.col("s.first") + 1).cast("int"), F.col("s.words").cast("int")), " ")

@@ -218,6 +218,13 @@ def test_mixed_documents_come_in_the_order_of_their_slots(spark, awkward):
     assert mixing.mixed_documents(docs).collect() == rows and rows[0].asDict().keys() == set(docs.columns)
 
 
+def test_mixed_documents_do_not_depend_on_files(spark):
+    rows = [(i, " ".join(f"{x}{n}" for n in range(90)), x) for i, x in [*((None, f"n{k}_") for k in range(12)), *((7, f"r{k}_") for k in range(12))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("source", F.lit("a"))
+    want = mixing.mixed_documents(docs.repartition(3)).collect()
+    assert all(mixing.mixed_documents(docs.repartition(n)).collect() == want for n in (1, 4))
+
+
 PARTS = ["a", "b", "Z", "s", "'", "'s", "'re", "'LL", "1", "23", ".", "!", "-", "_", "é", "É", "×", "÷", "ß", "\u0301", "\u0338", "中", "日本", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u200b", "\u2003", "\u3000", "½", "²", "Ⅷ", "٣", "İ", "ı", "ſ", "ﬁ", "<|", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "|>", "don't", "'ve", "😀", "\ufeff", "\x00", "ª", "¿", "«"]
 
 
