@@ -1,19 +1,23 @@
-"""Shared helpers of the training-data operators: staging, sessions and Arrow batches."""
+"""Shared helpers of the training-data operators: staging, sessions, Arrow batches and the memory of worker processes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadweft.llm import hashing
 from roadweft.plans.staging import fresh_path, remove, shared_dir, stage
 
 #: Bytes of text that a kernel looks at in one go; one longer text is taken alone.
 CHUNK_BYTES = 1_000_000
 
-__all__ = ["CHUNK_BYTES", "chunks", "fresh_path", "offsets_list", "partitions", "range_bounds", "range_of", "remove", "shared_dir", "stage", "text_bytes"]
+__all__ = ["CHUNK_BYTES", "chunks", "fresh_path", "lean", "let_go", "offsets_list", "partitions", "range_bounds", "range_of", "remove", "shared_dir", "stage", "text_bytes", "worker_tables"]
+
+_tables: list[dict] = []
 
 
 def partitions(spark: SparkSession) -> int:
@@ -56,6 +60,44 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield lo, len(texts)
 
 
+def worker_tables() -> dict:
+    """A new dict that lasts as long as the worker process, until let_go() empties it."""
+    _tables.append({})
+    return _tables[-1]
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not the GNU library
+        pass
+
+
+def let_go() -> None:
+    """Empties the tables that this process keeps between tasks and gives its free memory back to the system."""
+    for table in _tables:
+        table.clear()
+    for powers in (hashing.BYTES, hashing.WORDS):
+        powers.clear()
+    pa.default_memory_pool().release_unused()
+    _trim()
+
+
+def lean(run: Callable) -> Callable:
+    """A kernel of mapInArrow that keeps nothing between tasks.
+
+    Spark runs the tasks of all operators in the same worker processes, so it also lets go of what an operator
+    before it kept there.
+    """
+
+    def kernel(batches):
+        let_go()
+        yield from run(batches)
+        let_go()
+
+    return kernel
+
+
 def offsets_list(values: pa.Array, offsets) -> pa.ListArray:
     """A list column from flat values and offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)

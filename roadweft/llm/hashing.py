@@ -32,7 +32,11 @@ class Powers:
     """Powers of an odd base and of its inverse mod 2**64, grown on demand."""
 
     def __init__(self, base: np.uint64):
-        self.base, self.up, self.down = base, np.ones(1, U), np.ones(1, U)
+        self.base = base
+        self.clear()
+
+    def clear(self) -> None:
+        self.up, self.down = np.ones(1, U), np.ones(1, U)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadweft.llm import hashing
-from roadweft.llm.common import chunks, remove, stage, text_bytes
+from roadweft.llm.common import chunks, lean, remove, stage, text_bytes
 from roadweft.operators.graph import components
 
 WORDS, PERCENT = 5, 80
@@ -361,7 +361,7 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_c
     """
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    heads = stage(docs.mapInArrow(_heads_and_keys(k, 1, "head"), "doc_id long, h long, node long, n_shingles long"), "jaccard-heads")
+    heads = stage(docs.mapInArrow(lean(_heads_and_keys(k, 1, "head")), "doc_id long, h long, node long, n_shingles long"), "jaccard-heads")
     links = similar_nodes(docs, heads, k, percent)
     roots = components(links, "jaccard-components")
     nodes = heads.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
@@ -402,7 +402,7 @@ def similar_nodes(docs: DataFrame, heads: DataFrame, k: int, percent: int) -> Da
     """(a, b): similar pairs of nodes that connect every group of similar nodes."""
     total = heads.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET))
-    packed = docs.select("doc_id", "text").mapInArrow(_heads_and_keys(k, buckets, "keys"), "block long, width int, bucket int, keys binary, who binary")
+    packed = docs.select("doc_id", "text").mapInArrow(lean(_heads_and_keys(k, buckets, "keys")), "block long, width int, bucket int, keys binary, who binary")
     # a block's header rows are spread by block, its keys by bucket
     packed = packed.withColumn("part", F.when(F.col("bucket") < 0, F.pmod("block", F.lit(buckets)).cast("int")).otherwise(F.col("bucket")))
     counts = packed.groupBy("part", F.col("bucket") < 0).applyInArrow(lambda t: _singles(t), "block long, width int, names binary, counts binary")
@@ -413,10 +413,10 @@ def similar_nodes(docs: DataFrame, heads: DataFrame, k: int, percent: int) -> Da
     chosen = stage(chosen, "jaccard-chosen")
     same = docs["doc_id"].eqNullSafe(chosen["doc_id"]) & (docs["h"] == chosen["h"])
     # the chosen texts grow with the input: a shuffled join that can spill at every size
-    sets = docs.join(chosen.hint("merge"), same).select("text", "node").mapInArrow(_token_rows(k), "node long, n long, tokens binary").dropDuplicates(["node"])
+    sets = docs.join(chosen.hint("merge"), same).select("text", "node").mapInArrow(lean(_token_rows(k)), "node long, n long, tokens binary").dropDuplicates(["node"])
     sets = stage(sets, "jaccard-sets")
 
-    occur = sets.mapInArrow(_exploded, "node long, n long, t long")
+    occur = sets.mapInArrow(lean(_exploded), "node long, n long, t long")
     shared = occur.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     known = occur.join(shared, "t")
     # the rarest spare + 1 shingles of a set are its prefix; those that occur once lead it and meet nobody
@@ -450,7 +450,7 @@ def group_links(sets: DataFrame, members: DataFrame, prefix: DataFrame | None, p
     """Links within groups of candidates (node, comp); prefix (node, n, t) allows large groups to be dealt anew."""
     members = stage(parted(sets.select("node", "n").join(members, "node")), "jaccard-members")
     whole = members.where("parts is null").join(sets.select("node", "tokens"), "node").select("comp", "node", "tokens")
-    links = whole.repartition("comp").sortWithinPartitions("comp", "node").mapInArrow(_whole_links(percent), "a long, b long")
+    links = whole.repartition("comp").sortWithinPartitions("comp", "node").mapInArrow(lean(_whole_links(percent)), "a long, b long")
     large = members.where("parts is not null")
     if large.isEmpty():
         return links
@@ -481,7 +481,7 @@ def crowd_links(sets: DataFrame, large: DataFrame, prefix: DataFrame | None, per
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("comp", "node", "n", "parts", "salt", "pivot")), least, pa.array(far, pa.float64()), pa.array(ok, pa.bool_())], names=["comp", "node", "n", "parts", "salt", "pivot", "least", "far", "joined"])
 
     met = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts"))).join(sets.select("node", "tokens"), "node").join(pivots, ["comp", "salt"])
-    met = met.select("comp", "node", "n", "parts", "salt", "tokens", "pivot", "pivot_tokens").mapInArrow(distances, "comp long, node long, n long, parts long, salt long, pivot long, least long, far double, joined boolean")
+    met = met.select("comp", "node", "n", "parts", "salt", "tokens", "pivot", "pivot_tokens").mapInArrow(lean(distances), "comp long, node long, n long, parts long, salt long, pivot long, least long, far double, joined boolean")
     met = stage(met, "jaccard-pivots")
     star = met.where("joined and node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     # one minus Jaccard is a metric: a member joined to the pivot can only meet a stranger this near to the pivot

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from roadweft.llm.common import lean
+
 DIMS, GRAMS = 8192, (1, 2, 3)
 #: Documents of a language that k-means sees at most, centroids of a language, and rounds.
 SAMPLE, CENTROIDS, ROUNDS = 400, 3, 8
@@ -100,7 +102,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, roun
     train = train.where("lang is not null and text is not null")
     df = np.ones(DIMS)
     n = 1
-    for i, v in train.select("text").mapInArrow(_frequencies, "i int, df long").groupBy("i").agg(F.sum("df")).collect():  # DIMS + 1 rows
+    for i, v in train.select("text").mapInArrow(lean(_frequencies), "i int, df long").groupBy("i").agg(F.sum("df")).collect():  # DIMS + 1 rows
         if i < 0:
             n = max(v, 1)
         else:
@@ -151,7 +153,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     schema = T.StructType([*docs.schema.fields, *added])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def held_out():

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadweft.llm import hashing
-from roadweft.llm.common import chunks, stage, text_bytes
+from roadweft.llm.common import chunks, lean, stage, text_bytes
 
 WIDTH, ANCHOR = 50, 8
 
@@ -144,14 +144,14 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, short: int = ANCHOR) ->
     extra = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", *made.names)}
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f"`{c}`").alias(n) for c, n in extra.items()))
     named = docs.where("doc_id is not null").select("doc_id", "text")
-    found = named.mapInArrow(_anchor_rows(width, short), "doc_id long, anchor long")
+    found = named.mapInArrow(lean(_anchor_rows(width, short)), "doc_id long, anchor long")
     many = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     per = found.join(many, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    windows = named.join(per, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_window_rows(width, short), "doc_id long, w long")
+    windows = named.join(per, "doc_id").select("doc_id", "text", "anchors").mapInArrow(lean(_window_rows(width, short)), "doc_id long, w long")
     windows = stage(windows, "substring-windows")
     counted = windows.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w", "lo")
     bad = windows.join(counted, "w").where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("w").alias("ws"))
-    out = docs.join(bad, "doc_id", "left").select(*docs.columns, "ws").mapInArrow(_cut(width), T.StructType([*docs.schema.fields, *made.fields]))
+    out = docs.join(bad, "doc_id", "left").select(*docs.columns, "ws").mapInArrow(lean(_cut(width)), T.StructType([*docs.schema.fields, *made.fields]))
     return out.select("doc_id", "text", *(F.col(n).alias(c) for c, n in extra.items()), *made.names)
 
 

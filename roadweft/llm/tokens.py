@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 from roadweft.llm import hashing
-from roadweft.llm.common import chunks
+from roadweft.llm.common import chunks, worker_tables
 
 #: Pieces that a worker keeps; beyond that it drops those that one batch alone has used.
 KEPT = 1_000_000
@@ -166,11 +166,11 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple[str, bool, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, bool], Encoder] = worker_tables()
 
 
 def encoder(path: str, keeps_space: bool, special_as_text: bool = False) -> Encoder:
-    """One encoder for each file, way and worker process."""
+    """One encoder for each file, way and worker process; it goes when a lean kernel of another operator begins there."""
     key = (path, keeps_space, special_as_text)
     if key not in _encoders:
         _encoders[key] = Encoder(*key)

@@ -242,6 +242,19 @@ def test_encoder_equals_library(name, keeps, special_as_text):
     assert [x.tolist() for x in model.encode([t.encode() for t in texts])] == want
 
 
+@pytest.mark.parametrize("stage", [language.keep_known, jaccard.drop_near_copies, substring.cut_repeats])
+def test_later_operators_let_go_of_the_encoder_in_a_worker(spark, awkward, monkeypatch, stage):
+    kernels, kind = [], type(awkward)
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *rest: kernels.append(f) or real(self, f, *rest))
+    stage(awkward)
+    assert kernels
+    for kernel in kernels:  # each may be the first to run in a worker that has packed
+        tokens.encoder(vocabulary("word_bpe_49k.json"), False).encode([b"some words"])
+        next(kernel(iter([])), None)
+        assert not tokens._encoders and len(tokens.hashing.BYTES.up) == 1
+
+
 def test_encoder_forgets_pieces_and_still_agrees(monkeypatch):
     monkeypatch.setattr(tokens, "KEPT", 500)
     monkeypatch.setattr(tokens, "BATCH", 3000)
