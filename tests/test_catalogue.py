@@ -85,3 +85,21 @@ def test_whole_grids_and_tables(spark):
     # the first point is a double and may lie before the first row
     assert len(grid) == len(times) - 1 and shown("interpolate_default") == {t for t in grid if times[0] <= t <= times[-1]}
     assert sorted(tuple(r) for r in catalogue.QUERIES["union_tracks"](spark, DATA).collect()) == sorted(2 * [(r["event_id"], r["user_id"]) for r in events])
+
+
+def test_long_segments_are_dealt_a_few_times(spark):
+    """Shuffled bytes do not follow the number of times that a segment holds, and far times change nothing."""
+    tracks = tracks_from_events(spark, DATA).limit(1).drop("idx", "total_nanos", "x").crossJoin(spark.range(400).selectExpr("id div 2 as idx", "id % 2 * 3000 + id div 2 as total_nanos", "double(id % 2) * 3000 as x"))
+    far = [-(10**15), 10**18]
+    times = spark.range(3000).selectExpr("id as t").unionByName(spark.createDataFrame([(t,) for t in far], "t long"))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        got = resample.interpolate_times(tracks, times).where("abs(x - (total_nanos - idx)) < 1e-6").groupBy("idx").count().collect()
+        assert {r["idx"]: r["count"] for r in got} == {i: 3000 - i for i in range(200)}
+        assert written() - before < 500_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    small = {tuple(r) for r in resample.interpolate_times(tracks.where("idx < 3"), times, chunk=7).select("idx", "total_nanos").collect()}
+    assert small == {(i, t) for i in range(3) for t in range(i, 3000)}
