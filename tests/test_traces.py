@@ -62,3 +62,25 @@ def test_lanes_of_a_trace(spark, tmp_path):
     lane = traces.map_lanes(messages).first()
     assert [p.x for p in lane["centerline"]] == [5.0, 0.0] and lane["successor_ids"] == [9] and lane["predecessor_ids"] == [] and lane["right_boundary_id"] == 4 and lane["left_boundary_id"] is None
     assert [p.y for p in traces.map_boundaries(messages).first()["polyline"]] == [0.0, 1.0]
+
+
+def test_one_file_is_written_and_decoded_by_many_tasks(spark, tmp_path):
+    tracks = spark.range(6000).selectExpr("id div 3 * 1000 as total_nanos", "id % 3 as idx", "2L as type", "id % 5 as role", "id % 7 - 1 as subtype", *(f"rand({i}) * 100 as {c}" for i, c in enumerate(DOUBLES)))
+    tracks = tracks.withColumn("z", F.when((F.col("idx") != 1) | (F.col("total_nanos") > 1_000_000), F.col("z"))).localCheckpoint()
+    path = f"{tmp_path}/r.mcap"
+    traces.write_mcap(traces.to_messages(tracks, host=1, map_name="m"), path, "<OpenDRIVE/>", "m")
+    with open(path, "rb") as f:
+        held = list(containers.read_mcap(f.read()))
+    # a whole file in the order of times, the map first
+    assert [t for topic, t, _ in held if topic == "/ground_truth"] == list(range(0, 2_000_000, 1000)) and held[0][:2] == ("/ground_truth_map", 0)
+    for _, t, data in held[1:]:
+        # from 1 ms on no number is missing
+        assert t <= 1_000_000 or wire.encode("GroundTruth", wire.decode("GroundTruth", data) | {"proj_string": None}) == data
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        messages = traces.read_messages(spark, path)
+        assert messages.select(F.spark_partition_id()).distinct().count() > 1
+        back = traces.moving_objects(messages)
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, tracks.fillna({"z": 0.0}).select(back.columns).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
